@@ -219,13 +219,14 @@ def align_spans(spark, sf_dir):
 @query(f"""WITH {_WORDS_SQL}, s AS (SELECT call_id, token_id AS span_id, char_start AS a, char_end + 3 AS b FROM t WHERE token_id % 11 = 0),
 x AS (SELECT s.call_id, s.span_id, min(time_start) AS ts, max(time_end) AS te, avg(confidence) AS c FROM s JOIN t ON t.call_id = s.call_id AND t.char_start < s.b AND s.a < t.char_end GROUP BY ALL),
 p AS (SELECT call_id, greatest(0, ts - CASE WHEN round(c, 4) < 0.72 THEN 0.15 ELSE 0.09 END) AS a, te + CASE WHEN round(c, 4) < 0.72 THEN 0.15 ELSE 0.09 END AS b FROM x),
-f AS (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY call_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 0.06 THEN 1 ELSE 0 END AS n FROM p),
+f AS (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY call_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 0.07 THEN 1 ELSE 0 END AS n FROM p),
 i AS (SELECT *, sum(n) OVER (PARTITION BY call_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM f)
 SELECT call_id, round(min(a), 4) AS start, round(max(b), 4) AS stop FROM i GROUP BY call_id, k""")
 def protected_intervals(spark, sf_dir):
-    """The merged audio intervals that hide the aligned spans."""
+    """The merged audio intervals that hide the aligned spans. The made times are multiples of 0.01 s
+    that can lie at the default gap of 0.06 s exactly, so the gap is 0.07 s here."""
     _, tokens = _tokens(spark, sf_dir)
-    merged = timeline.merge_intervals(timeline.audio_intervals(timeline.attach_tokens(_long_word_spans(tokens), tokens)))
+    merged = timeline.merge_intervals(timeline.audio_intervals(timeline.attach_tokens(_long_word_spans(tokens), tokens)), gap=0.07)
     return merged.select("call_id", F.round("start", 4).alias("start"), F.round("end", 4).alias("stop"))
 
 
