@@ -168,10 +168,11 @@ def fallback_intervals(unresolved: DataFrame, offsets: DataFrame) -> DataFrame:
 
 def merge_intervals(intervals: DataFrame, keys: list[str] = ["call_id"], gap: float = MERGE_GAP) -> DataFrame:  # noqa: B006
     """Intervals that overlap or leave at most ``gap`` seconds become one: the union of their types,
-    the highest confidence, the lowest alignment confidence, and ``mixed`` for several methods."""
+    the highest confidence, the lowest alignment confidence, and ``mixed`` for several methods. Equal
+    intervals are peers of one island, so their order doesn't matter."""
     order = Window.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = intervals.withColumn("_new", F.coalesce((F.col("start") > reach + gap).cast("int"), F.lit(1))).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    islands = intervals.withColumn("_new", F.coalesce((F.col("start") > reach + gap).cast("int"), F.lit(1))).withColumn("_island", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     merged = islands.groupBy(*keys, "_island").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),

@@ -220,7 +220,7 @@ def align_spans(spark, sf_dir):
 x AS (SELECT s.call_id, s.span_id, min(time_start) AS ts, max(time_end) AS te, avg(confidence) AS c FROM s JOIN t ON t.call_id = s.call_id AND t.char_start < s.b AND s.a < t.char_end GROUP BY ALL),
 p AS (SELECT call_id, greatest(0, ts - CASE WHEN round(c, 4) < 0.72 THEN 0.15 ELSE 0.09 END) AS a, te + CASE WHEN round(c, 4) < 0.72 THEN 0.15 ELSE 0.09 END AS b FROM x),
 f AS (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY call_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 0.07 THEN 1 ELSE 0 END AS n FROM p),
-i AS (SELECT *, sum(n) OVER (PARTITION BY call_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM f)
+i AS (SELECT *, sum(n) OVER (PARTITION BY call_id ORDER BY a, b RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM f)
 SELECT call_id, round(min(a), 4) AS start, round(max(b), 4) AS stop FROM i GROUP BY call_id, k""")
 def protected_intervals(spark, sf_dir):
     """The merged audio intervals that hide the aligned spans. The made times are multiples of 0.01 s
@@ -255,7 +255,7 @@ def nearest_segment(spark, sf_dir):
 
 @query("""WITH e AS (SELECT user_id, epoch(ts) AS a, epoch(ts) + value AS b, event_type FROM events),
 f AS (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 600 THEN 1 ELSE 0 END AS n FROM e),
-i AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM f)
+i AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY a, b RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM f)
 SELECT user_id, round(min(a), 3) AS start, round(max(b), 3) AS stop, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS types FROM i GROUP BY user_id, k""")
 def merge_intervals(spark, sf_dir):
     begin = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))") / 1e6
