@@ -60,7 +60,7 @@ def test_span_algebra(spark):
     assert [(s["start"], s["end"], s["value"]) for s in rows[0]["s"]] == [(3, 5, "a1"), (6, 9, "b22")]
     assert [r["r"] for r in rows] == ["é🙂 a# b#", "", ""] and rows[1]["s"] == []
     kind = "array<struct<start:int,end:int>>"
-    row = spark.sql("select cast(array(struct(0 as start, 5 as end), struct(4, 6), struct(6, 9)) as array<struct<start:int,end:int>>) as s").select(greedy(F.col("s"), kind, lambda x: [x["start"]]).alias("k")).first()
+    row = spark.sql("select cast(array(struct(0, 5), struct(4, 6), struct(6, 9)) as array<struct<start:int,end:int>>) as s").select(greedy(F.col("s"), kind, lambda x: [x["start"]]).alias("k")).first()
     assert [(x["start"], x["end"]) for x in row["k"]] == [(0, 5), (6, 9)]
 
 
