@@ -97,7 +97,7 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    with_text: bool = False,
+    with_row: bool = False,
 ) -> DataFrame:
     """One row per input row: ``doc_id, source, size, source_size, target, taken, passes, spans``.
 
@@ -106,11 +106,11 @@ def mix_sources(
 
     Defined cases: a null or wordless text has size 0 and nothing is taken of it; null is a source
     of its own, last in order; a source without words has target 0; repeated rows are documents of
-    their own; an empty table gives an empty result; other columns are ignored, or with ``with_text``
-    the text travels along as ``text``.
+    their own; an empty table gives an empty result; other columns are ignored, or with ``with_row`` the
+    whole input row travels along as ``row``.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *([F.col(text_col).alias("text")] if with_text else []))
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *([F.struct(*[df[c].alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("row")] if with_row else []))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(sizes) > MAX_SOURCES:
         raise ValueError(f"over {MAX_SOURCES} sources")
@@ -145,19 +145,18 @@ def mix_sources(
     spans = F.transform(F.filter(F.array(first, second), lambda s: s["b"] > s["a"]), lambda s: F.struct((s["a"] - F.col("_lo")).cast("long").alias("from"), (s["b"] - F.col("_lo")).cast("long").alias("to")))
     rows = rows.withColumn("spans", spans)
     part = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + part).cast("long").alias("taken"), F.col("passes").cast("long").alias("passes"), "spans", *(["text"] if with_text else []))
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + part).cast("long").alias("taken"), F.col("passes").cast("long").alias("passes"), "spans", *(["row"] if with_row else []))
 
 
 def mixed_documents(df: DataFrame, weights, text_col: str = "text", **kw) -> DataFrame:
     """The documents that the mix consists of, one row for each pass or piece, with all columns of
-    ``df``. A piece of a document is its words with single spaces between them."""
+    ``df``. A piece of a document is its words with single spaces between them; a document without
+    words has none."""
     names = df.columns
-    # The other columns travel in the id beside the text.
-    rest = [n for n in names if n != text_col]
-    packed = df.select(F.struct(*rest).alias("_id"), F.col(text_col).alias("text"), F.col("source").alias("source"))
-    mixed = mix_sources(packed, weights, id_col="_id", text_col="text", with_text=True, **kw)
-    words = F.split(F.btrim(F.coalesce("text", F.lit("")), F.lit(WORD_SPACE)), r"[\x20\x09-\x0D]+")
-    whole = F.array_repeat(F.col("text"), F.col("passes").cast("int"))
-    pieces = F.transform("spans", lambda s: F.when((s["from"] == 0) & (s["to"] == F.col("size")), F.col("text")).otherwise(F.array_join(F.slice(words, (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")), " ")))
-    rows = mixed.select(F.col("doc_id").alias("_id"), F.explode(F.concat(whole, pieces)).alias("_text"))
-    return rows.select(*[(F.col("_text") if n == text_col else F.char_length("_text").cast("long") if n == "n_chars" else F.col("_id")[n]).alias(n) for n in names])
+    mixed = mix_sources(df, weights, text_col=text_col, with_row=True, **kw)
+    text = F.coalesce(F.col(f"row.c{names.index(text_col)}").cast("string"), F.lit(""))
+    words = F.split(F.btrim(text, F.lit(WORD_SPACE)), r"[\x20\x09-\x0D]+")
+    whole = F.array_repeat(text, F.col("passes").cast("int"))
+    pieces = F.transform("spans", lambda s: F.when((s["from"] == 0) & (s["to"] == F.col("size")), text).otherwise(F.array_join(F.slice(words, (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")), " ")))
+    rows = mixed.where("size > 0").select("row", F.explode(F.concat(whole, pieces)).alias("_text"))
+    return rows.select(*[(F.col("_text") if n == text_col else F.char_length("_text").cast("long") if n == "n_chars" else F.col(f"row.c{i}")).alias(n) for i, n in enumerate(names)])
