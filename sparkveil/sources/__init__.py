@@ -1 +1 @@
-"""See the README for the map of this layer."""
+"""Sources and sinks: case files, audio manifests, audio files, results and debug bundles."""
