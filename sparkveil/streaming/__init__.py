@@ -1 +1 @@
-"""See the README for the map of this layer."""
+"""Structured Streaming forms of the operators (an extension: the task itself is batch work)."""
