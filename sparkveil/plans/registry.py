@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from sparkveil.functions import patterns as P
 from sparkveil.functions.scalars import due_date, luhn_ok, normal_value, verhoeff_ok
 from sparkveil.functions.spans import by_position, find, greedy, render
-from sparkveil.operators import evaluation, privacy, timeline, understanding
+from sparkveil.operators import evaluation, privacy, recovery, timeline, understanding
 from sparkveil.plans import transcripts as T
 from sparkveil.session import ship, table
+from sparkveil.sources import audio
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -307,3 +309,77 @@ def operational_and_rude(spark, sf_dir):
     ids = rows.select("id", F.explode("protected.financial_ids").alias("s")).select("id", "s.type", F.col("s.value").alias("canonical"))
     rude = rows.select("id", F.explode("protected.profanity").alias("s")).select("id", "s.type", "s.canonical")
     return ids.unionByName(rude)
+
+
+# ---- calls with times ----
+
+_TWICE = f"concat('My phone number is ', {T.PHONE}, ' ', {T.OTHER}, '.')"
+
+
+def _timed_calls(spark: SparkSession, sf_dir: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """One segment for each customer; the fifth word ends a pause that depends on the key modulo 3,
+    and every third call is heard badly."""
+    rows = table(spark, sf_dir, "customer").where("c_custkey > 0").select(F.col("c_custkey").alias("call_id"), F.expr(text).alias("text"))
+    segs = rows.select("call_id", F.lit(0).alias("seg_id"), F.lit(0.0).alias("start"), F.lit(60.0).alias("end"), "text", F.lit("A").alias("speaker"))
+    words = segs.select("call_id", "seg_id", F.posexplode(F.split("text", " ")).alias("word_idx", "word"))
+    pause = F.when(F.col("word_idx") >= 5, F.when(F.col("call_id") % 3 == 1, 0.10).otherwise(0.65)).otherwise(0.05)
+    begin = F.col("word_idx") * 0.22 + F.least(F.col("word_idx"), F.lit(4)) * 0.05 + pause
+    return segs, words.select("call_id", "seg_id", "word_idx", "word", begin.alias("start"), (begin + 0.22).alias("end"), F.when(F.col("call_id") % 3 == 2, 0.40).otherwise(0.95).alias("confidence"))
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS call_id, {T.PHONE} AS a, {T.OTHER} AS b FROM customer WHERE c_custkey > 0)
+SELECT call_id, b AS value, CASE WHEN call_id % 3 = 0 THEN 'silent_restart' END AS corrected_by FROM c UNION ALL SELECT call_id, a, NULL FROM c WHERE call_id % 3 != 0""")
+def correction_timed(spark, sf_dir):
+    """A number said twice: a long pause on a clear line corrects it, a short one or a bad line doesn't."""
+    segs, words = _timed_calls(spark, sf_dir, _TWICE)
+    texts = timeline.call_text(segs)
+    spans = privacy.detect(texts).select("call_id", F.posexplode("pii").alias("span_id", "s")).select("call_id", "span_id", "s.type", "s.start", "s.end", "s.value", "s.confidence", "s.ownership")
+    aligned = timeline.attach_tokens(spans, timeline.word_map(segs, words))
+    return timeline.timed_corrections(aligned, texts).select("call_id", "value", "corrected_by")
+
+
+_LOST = f"""CASE c_custkey % 4 WHEN 0 THEN 'The CVV is located on the back of the card. Mine ID, address is available.'
+ WHEN 1 THEN 'My registered name is 2210.' WHEN 2 THEN concat('My phone number is ', {T.PHONE}, '.') ELSE 'My email is not available.' END"""
+
+
+@query("""SELECT c_custkey AS call_id, CASE c_custkey % 4 WHEN 0 THEN 'CVV' ELSE 'NAME' END AS type, CASE c_custkey % 4 WHEN 0 THEN 'followup_expectation' ELSE 'owned_field' END AS source
+FROM customer WHERE c_custkey > 0 AND c_custkey % 4 < 2""")
+def recovery_windows(spark, sf_dir):
+    """Windows to decode again where a value should be and isn't."""
+    segs, words = _timed_calls(spark, sf_dir, _LOST)
+    texts = timeline.call_text(segs)
+    found = privacy.detect(texts).select("call_id", F.explode("pii").alias("s")).select("call_id", "s.type", "s.start", "s.end")
+    return recovery.plan_recovery(texts, found, timeline.word_map(segs, words)).select("call_id", "type", "source")
+
+
+@query("""WITH c AS (SELECT c_custkey AS call_id, c_custkey % 4 AS k FROM customer WHERE c_custkey > 0 AND c_custkey % 4 < 2)
+SELECT CASE k WHEN 0 THEN 'CVV' ELSE 'NAME' END AS type, count(*)::BIGINT AS planned, 0::BIGINT AS confirmed, count(*)::BIGINT AS guarded FROM c GROUP BY k
+UNION ALL SELECT NULL, count(*), 0, count(*) FROM c""")
+def recovery_telemetry(spark, sf_dir):
+    return recovery.telemetry(recovery_windows(spark, sf_dir).withColumn("status", F.lit("guarded")))
+
+
+@query("""SELECT conv_id AS call_id, count(*)::BIGINT AS segments, sum(length(trim(regexp_replace(text, '[\\x20\\x09-\\x0D]+', ' ', 'g'))))::BIGINT + count(*)::BIGINT - 1 AS chars FROM conversations GROUP BY conv_id""")
+def call_texts(spark, sf_dir):
+    segs = T.segments(spark, sf_dir)
+    n = segs.groupBy("call_id").agg(F.count(F.lit(1)).alias("segments"))
+    return timeline.call_text(segs).select("call_id", F.char_length("text").cast("long").alias("chars")).join(n, "call_id")
+
+
+@query()
+def audio_screening(spark, sf_dir):
+    """Signal metrics of made WAV files, one for each nation."""
+    ship(spark)
+
+    @pandas_udf("binary")
+    def made(keys):
+        import numpy as np
+
+        from sparkveil.sources.audio import encode_wav
+
+        wave = lambda k: 0.3 * np.sin(2 * np.pi * (200 + 40 * k) * np.arange(16_000) / 16_000)
+        return keys.map(lambda k: encode_wav(wave(k).astype("float32"), 16_000))
+
+    files = table(spark, sf_dir, "nation").select(F.concat(F.lit("nation-"), F.col("n_nationkey")).alias("path"), F.lit("wav").alias("suffix"), made(F.col("n_nationkey").cast("long")).alias("content"))
+    rows = audio.audio_metrics(files)
+    return rows.select("path", "duration_s", F.col("quality.score").alias("quality"), F.col("stress.level").alias("stress"), F.col("tamper.risk").alias("tamper"), "error")
