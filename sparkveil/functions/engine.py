@@ -856,3 +856,23 @@ def protect(text: str, profile: str = "balanced", mode: str = "full", bleep: str
         if not any(x.touches(o) for o, _ in kept):
             kept.append((x, new))
     return {"safe_text": render(text, [(x.start, x.end, new) for x, new in kept]), "pii": pii, "financial_ids": operational, "profanity": rude, "threshold": threshold}
+
+
+def said_again(text: str, x: Span) -> Span | None:
+    """A value of the same type right after an owned one, read as if its owner had begun anew: what
+    recognition cut off by punctuation. It is only a proposal; timing must confirm it."""
+    prefix = P.OWNER_SAYS.get(x.type)
+    if prefix is None or (x.ownership or 0) < 3:
+        return None
+    tail = text[x.end : x.end + 78]
+    for stop in (P.REPAIR_NEW_FIELD, P.REPAIR_LIST):
+        if m := rx(stop).search(tail):
+            tail = tail[: m.start()]
+    lead = rx(P.REPAIR_LEAD).match(tail).end()
+    for y in detect(prefix + tail[lead:], P.PROFILES["high_recall"]):
+        start = y.start - len(prefix) + lead
+        if y.type == x.type and start >= lead:
+            made = replace(y, start=x.end + start, end=x.end + start + y.end - y.start, ownership=y.ownership or x.ownership, evidence=y.evidence + "+correction_continuation_validation")
+            if may_correct(text, x, made):
+                return made
+    return None

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from sparkveil.functions import engine
 from sparkveil.functions import patterns as P
 from sparkveil.functions.scalars import normal_value
 from sparkveil.operators.understanding import says
@@ -221,3 +222,59 @@ def timed_corrections(aligned: DataFrame, texts: DataFrame) -> DataFrame:
     rows = rows.withColumn("_by", F.when(episode & safe & alone & gap.between(GAP_LOW, GAP_HIGH), signal))
     rows = rows.withColumn("corrected_by", F.lag("_by").over(order)).where("_by is null")
     return rows.select(*aligned.columns, "corrected_by")
+
+
+def rediscovered(spans: DataFrame, texts: DataFrame) -> DataFrame:
+    """Proposals for values that follow an owned one without a context of their own, in the columns of
+    ``spans`` (ids from 1,000,000 on): only for spans without a later one of their type within 72
+    characters. Add them to the spans, align all, let ``timed_corrections`` decide, and keep those with
+    ``corrected_by``."""
+    ship(spans.sparkSession)
+
+    @pandas_udf("struct<start:int,end:int,value:string,confidence:double>")
+    def propose(text: pd.Series, kind: pd.Series, start: pd.Series, end: pd.Series, value: pd.Series, own: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, k, s, e, v, o in zip(text, kind, start, end, value, own):
+            y = engine.said_again(t or "", engine.Span(k, int(s), int(e), v, 1.0, "", ownership=int(o)))
+            rows.append((y.start, y.end, y.value, y.confidence) if y else (None, None, None, None))
+        return pd.DataFrame(rows, columns=["start", "end", "value", "confidence"]).astype({"start": "Int32", "end": "Int32"})
+
+    order = Window.partitionBy("call_id", "type").orderBy("start", "end", "span_id")
+    last = spans.withColumn("_next", F.lead("start").over(order)).where("(_next is null or _next > end + 72) and ownership >= 3").drop("_next")
+    rows = last.join(texts, "call_id").withColumn("_p", propose("text", "type", "start", "end", "value", F.col("ownership").cast("int"))).where("_p.start is not null")
+    made = {"span_id": F.col("span_id") + 1_000_000, "start": F.col("_p.start"), "end": F.col("_p.end"), "value": F.col("_p.value"), "confidence": F.col("_p.confidence")}
+    return rows.select(*[made.get(c, F.col(c)).alias(c) for c in spans.columns])
+
+
+def correct_calls(spans: DataFrame, tokens: DataFrame, texts: DataFrame) -> DataFrame:
+    """Spans after all timed corrections: accepted values first, then proposals that timing confirms
+    (``corrected_by`` ends with ``_rediscovered``)."""
+    proposed = rediscovered(spans, texts)
+    both = attach_tokens(spans.unionByName(proposed), tokens)
+    out = timed_corrections(both, texts)
+    new = F.col("span_id") >= 1_000_000
+    return out.where(~new | F.col("corrected_by").isNotNull()).withColumn("corrected_by", F.when(new, F.concat("corrected_by", F.lit("_rediscovered"))).otherwise(F.col("corrected_by")))
+
+
+def suffix_corrections(spans: DataFrame, tokens: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edits of last digits: ``call_id, span_id`` (of the number), ``start, end, digits`` of the new
+    digits, and ``expose_old``, whether timing and voices are sure enough to show the old number."""
+    from sparkveil.operators import recovery
+
+    ship(spans.sparkSession)
+
+    @pandas_udf("array<struct<i:int,s:int,e:int,n:int>>")
+    def edits(text: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip("isen", x)) for x in recovery.suffix_edits(t or "", [(f["type"], f["start"], f["end"], f["value"], f["ownership"] or 0) for f in fs])] for t, fs in zip(text, found)])
+
+    grouped = spans.groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "type", "value", "ownership", "span_id"))).alias("f"))
+    rows = grouped.join(texts, "call_id").select("call_id", "f", F.explode(edits("text", "f")).alias("x"))
+    rows = rows.select("call_id", F.get("f", F.col("x.i"))["span_id"].alias("span_id"), F.col("x.s").alias("start"), F.col("x.e").alias("end"), F.col("x.n").alias("digits"))
+    said = Window.partitionBy("call_id", "type", normal_value(F.col("type"), F.col("value")))
+    counted = spans.withColumn("_times", F.sum((F.col("ownership") >= 3).cast("int")).over(said))
+    old = attach_tokens(counted.join(rows.select("call_id", "span_id"), ["call_id", "span_id"], "left_semi"), tokens)
+    new = attach_tokens(rows, tokens)
+    sure = lambda d: (F.col(f"{d}.alignment_confidence") >= SAFE_ALIGNMENT) & (F.size(f"{d}.token_ids") > 0)
+    voices = (F.size("o.speakers") == 0) | (F.size("n.speakers") == 0) | F.arrays_overlap("o.speakers", "n.speakers")
+    out = new.alias("n").join(old.alias("o"), (F.col("n.call_id") == F.col("o.call_id")) & (F.col("n.span_id") == F.col("o.span_id")))
+    return out.select(F.col("n.call_id").alias("call_id"), F.col("n.span_id").alias("span_id"), F.col("n.start").alias("start"), F.col("n.end").alias("end"), "digits", (sure("o") & sure("n") & voices & (F.col("o._times") == 1)).alias("expose_old"))
