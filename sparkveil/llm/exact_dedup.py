@@ -15,6 +15,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkveil.session import materialize
+
 #: Ids become ``_TOP - id``, 1 to 2^64; 0 stands for null.
 _TOP, _SHIFT = Decimal(2**63), Decimal(2**65)
 WHITE = r"[\x20\x09-\x0D]"
@@ -62,12 +64,11 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         .select(F.sha2(F.encode("_norm", "utf-8"), 256).alias("_sha"), "group_size", "_best")
     )
     # Documents find their group by the whole SHA-256. Were two different texts to agree on all of
-    # it, the group side would hold that digest twice: that is an error, never a silent merge.
-    groups = (
-        groups.groupBy("_sha")
-        .agg(F.count(F.lit(1)).alias("_n"), F.max("group_size").alias("group_size"), F.max("_best").alias("_best"))
-        .withColumn("group_size", F.when(F.col("_n") > 1, F.raise_error(F.lit("different texts share a SHA-256")).cast("long")).otherwise(F.col("group_size")))
-    )
+    # it, the groups would hold that digest twice: that is an error, never a silent merge. Written
+    # groups also leave a plain join, whose hot partitions Spark can split.
+    groups = materialize(groups, "exact-groups")
+    if not groups.groupBy("_sha").count().where("count > 1").isEmpty():
+        raise ValueError("different texts share a SHA-256")
     # Rows that agree in id and text are counted here and unfolded below.
     members = rows.groupBy("_sha", "_id", "_len").agg(F.count(F.lit(1)).alias("_copies"))
     joined = members.join(groups, "_sha").withColumn("_mine", _rank(F.col("_len"), F.col("_id")) == F.col("_best"))
