@@ -2,7 +2,7 @@
 
 Each round is a few aggregations and joins, and its edges are written to the shared folder, so
 the plan does not grow and a lost executor costs only its tasks. Nothing but two numbers a round
-comes to the driver. A hub's edges are spread over ``SALT`` parts for the joins.
+comes to the driver.
 """
 
 from __future__ import annotations
@@ -12,23 +12,22 @@ from pyspark.sql import functions as F
 
 from sparkveil.session import drop_path, materialize
 
-SALT = 64
 
+def _with_minimum(edges: DataFrame, least: DataFrame) -> tuple[DataFrame, str]:
+    """edges(u, v) joined with least(u, m). The minima are written first: Spark then knows their size,
+    broadcasts them only if they are small, and otherwise splits the hubs' partitions of the join."""
+    written = materialize(least, "edge-minima")
+    return edges.join(written, "u").select("u", "v", "m"), written._sparkveil_path
 
-def _with_minimum(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """edges(u, v) joined with least(u, m), the edges of one u spread over SALT parts."""
-    left = edges.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(SALT)))
-    right = least.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
-    return left.join(right, ["u", "_s"]).select("u", "v", "m")
 
-
-def _star_round(e: DataFrame) -> DataFrame:
+def _star_round(e: DataFrame) -> tuple[DataFrame, list[str]]:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    large = _with_minimum(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    joined, first = _with_minimum(both, both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    large = materialize(joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
     least = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = _with_minimum(large, least).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    joined, second = _with_minimum(large, least)
+    small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges"), [first, second, large._sparkveil_path, e._sparkveil_path]
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -44,6 +43,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         state = current.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).collect()[0]
         if state == before or state["n"] == 0:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before, last = state, current
-        current = materialize(_star_round(last), "edges")
-        drop_path(spark, last._sparkveil_path)
+        before = state
+        current, done = _star_round(current)
+        for path in done:
+            drop_path(spark, path)
