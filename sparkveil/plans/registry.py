@@ -12,6 +12,7 @@ from sparkveil.functions import patterns as P
 from sparkveil.functions.scalars import due_date, luhn_ok, normal_value, verhoeff_ok
 from sparkveil.functions.spans import by_position, find, greedy, render
 from sparkveil.operators import evaluation, privacy, recovery, timeline, understanding
+from sparkveil.plans import analyze
 from sparkveil.plans import transcripts as T
 from sparkveil.session import ship, table
 from sparkveil.sources import audio
@@ -383,3 +384,19 @@ def audio_screening(spark, sf_dir):
     files = table(spark, sf_dir, "nation").select(F.concat(F.lit("nation-"), F.col("n_nationkey")).alias("path"), F.lit("wav").alias("suffix"), made(F.col("n_nationkey").cast("long")).alias("content"))
     rows = audio.audio_metrics(files)
     return rows.select("path", "duration_s", F.col("quality.score").alias("quality"), F.col("stress.level").alias("stress"), F.col("tamper.risk").alias("tamper"), "error")
+
+
+@query("""SELECT o_orderkey AS call_id, ['general customer support', 'payment commitment', 'repayment difficulty', 'general customer support', 'general customer support'][1 + o_orderkey % 5] AS intent,
+  CASE WHEN o_orderkey % 5 = 4 THEN 'high' ELSE 'low' END AS risk_level, [2, 3, 0, 1, 0][1 + o_orderkey % 5]::BIGINT AS facts, [0, 1, 2, 0, 0][1 + o_orderkey % 5]::BIGINT AS obligations, 0::BIGINT AS pii FROM orders""")
+def call_analysis(spark, sf_dir):
+    """Privacy and understanding of each call in one pass."""
+    rows = analyze.analyze_texts(T.collection_calls(spark, sf_dir))
+    size = lambda c: F.size(c).cast("long").alias(c)
+    return rows.select("call_id", F.col("intent.label").alias("intent"), F.col("regulatory.risk_level").alias("risk_level"), size("facts"), size("obligations"), size("pii"))
+
+
+@query(f"""SELECT c_custkey AS call_id, concat('My phone number is ', CASE WHEN c_custkey % 3 = 0 THEN {T.PHONE} ELSE '[PHONE REDACTED]' END, ' [PHONE REDACTED].') AS safe_text FROM customer WHERE c_custkey > 0""")
+def corrected_transcripts(spark, sf_dir):
+    """Safe segments of timed calls: a number corrected in time is shown, any other hidden."""
+    segs, words = _timed_calls(spark, sf_dir, _TWICE)
+    return analyze.analyze_calls(segs, words)["segments"].select("call_id", "safe_text")
