@@ -19,6 +19,7 @@ from pyspark.sql.functions import pandas_udf
 from sparkveil.functions import engine as E
 from sparkveil.functions import patterns as P
 from sparkveil.functions.engine import rx, says
+from sparkveil.operators import timeline
 from sparkveil.session import ship
 
 WINDOW_PAD, WINDOW_EXTRA, MAX_WINDOWS, GUARD_CONFIDENCE = 0.20, 0.7, 4, 0.72
@@ -144,3 +145,43 @@ def suffix_edits(text: str, spans: list[tuple[str, int, int, str, int]]) -> list
         if count == len(new) <= min(4, len(number)):
             out.append((i, end + m.start(2), end + m.end(2), count))
     return out
+
+
+def confirm(kind: str, heard: str, words: list[dict]) -> tuple[float, float, float] | None:
+    """(start, end, confidence) of a value of a type in a second decoding, from its words' times. The
+    text is read as it stands and as if its owner had begun to say the value."""
+    prefix = P.OWNER_SAYS.get(kind, "")
+    for lead in ("", prefix):
+        for x in E.detect(lead + heard, P.PROFILES["high_recall"]):
+            s, e = x.start - len(lead), x.end - len(lead)
+            if x.type != kind or s < 0:
+                continue
+            places = timeline.place_words(heard, [w["word"] for w in words])
+            hits = [w for w, p in zip(words, places) if p and p[0] < e and s < p[1]]
+            if hits:
+                return min(w["start"] for w in hits), max(w["end"] for w in hits), sum(w["confidence"] for w in hits) / len(hits)
+    return None
+
+
+def recover(windows: DataFrame, heard: DataFrame, guard: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(intervals, audit) of windows that a provider decoded again. ``heard`` has call_id, rank, text
+    and words (array of structs word, start, end, confidence; times of the call). A window whose value
+    is confirmed hides that value's time; any other is guarded from its start, or left open if
+    ``guard`` is off. Neither table holds a value."""
+    ship(windows.sparkSession)
+
+    @pandas_udf("struct<start:double,end:double,confidence:double>")
+    def confirmed(kind: pd.Series, text: pd.Series, words: pd.Series) -> pd.DataFrame:
+        found = [confirm(k, t, list(w)) if isinstance(t, str) and w is not None else None for k, t, w in zip(kind, text, words)]
+        return pd.DataFrame([f or (None, None, None) for f in found], columns=["start", "end", "confidence"])
+
+    rows = windows.join(heard.select("call_id", "rank", "text", "words"), ["call_id", "rank"], "left").withColumn("_c", confirmed("type", "text", "words"))
+    sure = F.col("_c.start").isNotNull()
+    rows = rows.withColumn("status", F.when(sure, "confirmed").otherwise("guarded" if guard else "unresolved"))
+    end = F.least("time_end", F.col("time_start") + F.col("longest"))
+    intervals = rows.where("status != 'unresolved'").select(
+        "call_id", F.when(sure, F.greatest(F.lit(0.0), F.col("_c.start") - timeline.PAD)).otherwise(F.col("time_start")).alias("start"), F.when(sure, F.col("_c.end") + timeline.PAD).otherwise(end).alias("end"),
+        F.array("type").alias("types"), F.when(sure, F.round("_c.confidence", 4)).otherwise(GUARD_CONFIDENCE).alias("confidence"),
+        F.when(sure, "privacy_recovery").otherwise("conservative_guard").alias("alignment_method"), "alignment_confidence",
+    )
+    return intervals, rows.select("call_id", "rank", "type", "char_start", "char_end", "reason", "source", "status")

@@ -50,3 +50,14 @@ def test_stream(spark, tmp_path):
     q = stream.hidden_by_window(stream.protect_stream(source)).writeStream.format("memory").queryName("hidden").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert {(r["type"], r["hidden"]) for r in spark.table("hidden").collect()} == {("PHONE", 1), ("OTP", 1)}
+
+
+def test_recover(spark):
+    windows = spark.createDataFrame([(1, 1, "CVV", 1.0, 3.0, 1.4), (1, 2, "OTP", 5.0, 7.0, 1.8), (2, 1, "PAN", 0.0, 2.0, 2.4)], "call_id int, rank int, type string, time_start double, time_end double, longest double")
+    windows = windows.selectExpr("*", "0 as char_start", "5 as char_end", "0.9D as alignment_confidence", "'r' as reason", "'s' as source")
+    heard = spark.createDataFrame([(1, 1, "it is 391", [("it", 1.0, 1.2, 0.9), ("is", 1.2, 1.4, 0.9), ("391", 1.5, 2.1, 0.8)]), (1, 2, "sorry what", [("sorry", 5.0, 5.5, 0.9)])], "call_id int, rank int, text string, words array<struct<word:string,start:double,end:double,confidence:double>>")
+    intervals, audit = recovery.recover(windows, heard)
+    assert {(r.call_id, r["rank"]): r.status for r in audit.collect()} == {(1, 1): "confirmed", (1, 2): "guarded", (2, 1): "guarded"}
+    got = {tuple(r.types): (round(r.start, 2), round(r.end, 2)) for r in intervals.collect()}
+    assert got == {("CVV",): (1.41, 2.19), ("OTP",): (5.0, 6.8), ("PAN",): (0.0, 2.0)}
+    assert recovery.recover(windows, heard, guard=False)[0].count() == 1
