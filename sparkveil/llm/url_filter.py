@@ -72,8 +72,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         .groupBy("rule", "host_len", "path_len")
         .agg(F.min("verdict").alias("verdict"))
     )
-    # As many lengths as the list's paths have, at most 2,048 (longer URLs are not in use).
-    lengths = sorted(r[0] for r in listed.select("path_len").distinct().limit(2048).collect())
+    # The different lengths of the list's paths: no more numbers than its longest path has characters.
+    lengths = sorted(r[0] for r in listed.select("path_len").distinct().collect())
     rows = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     pairs = rows.where("host != ''").select("host", "path").distinct()
     labels = F.split("host", r"\.")
