@@ -113,12 +113,13 @@ class BytePairEncoder:
         if len(tokens) >= 1 << 20:
             raise ValueError("over 2^20 ranks")
         self.pattern = regex.compile(pattern)
+        self._letters_alone = pattern.startswith("'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+|")
         byte = {t[0]: i for i, t in enumerate(self.tokens) if len(t) == 1}
         self.of_byte = [byte[i] for i in range(256)]
         self.pairs = _PairRanks(tokens, vocabulary)
         self._piece = Memo(self._piece_ids)
         self._chunk = Memo(self._ids)
-        self._spaced = Memo(lambda chunk: self._ids(" " + chunk), most=600_000)
+        self._spaced = Memo(self._spaced_ids, most=500_000)
 
     def merge(self, data: bytes) -> list[int]:
         """The ids of one pre-token by the heap of possible merges over its linked bytes.
@@ -128,7 +129,7 @@ class BytePairEncoder:
         """
         n, pairs, of_byte, pop, push = len(data), self.pairs, self.of_byte, heapq.heappop, heapq.heappush
         ids, nxt, prev = [of_byte[x] for x in data], list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [r << 32 | i for i in range(n - 1) if (r := pairs[ids[i] << 20 | ids[i + 1]]) >= 0]
+        heap = [r << 32 | i for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := pairs[a << 20 | b]) >= 0]
         heapq.heapify(heap)
         while heap:
             top = pop(heap)
@@ -153,6 +154,10 @@ class BytePairEncoder:
         ids = [rank] if rank >= 0 else self.merge(data)
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _spaced_ids(self, chunk: str) -> bytes:
+        """A chunk behind a space: letters alone are one pre-token."""
+        return self._piece_ids(" " + chunk) if self._letters_alone and chunk.isalpha() else self._ids(" " + chunk)
+
     def _ids(self, chunk: str) -> bytes:
         return b"".join(map(self._piece.__getitem__, self.pattern.findall(chunk)))
 

@@ -28,16 +28,20 @@ def chunks(text: str) -> tuple[str, list[str]]:
 
 
 class Memo(dict):
-    """Chunk to result, filled by ``make``; emptied at ``most`` entries, so memory stays bounded."""
+    """Chunk to result, filled by ``make``. At ``most`` entries it starts anew and takes back from
+    the entries before what is asked for again, so memory stays bounded and frequent chunks stay."""
 
-    def __init__(self, make, most: int = 400_000, longest: int = 200):
+    def __init__(self, make, most: int = 250_000, longest: int = 200):
         super().__init__()
-        self.make, self.most, self.longest = make, most, longest
+        self.make, self.most, self.longest, self.before = make, most, longest, {}
 
     def __missing__(self, chunk):
-        value = self.make(chunk)
+        value = self.before.get(chunk)
+        if value is None:
+            value = self.make(chunk)
         if len(chunk) <= self.longest:
             if len(self) >= self.most:
+                self.before = dict(self)
                 self.clear()
             self[chunk] = value
         return value
