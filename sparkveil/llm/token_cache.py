@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkveil.llm.pretokens import Memo, chunks
-from sparkveil.session import path_exists, ship
+from sparkveil.session import materialize, path_exists, ship
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 
@@ -124,6 +124,7 @@ def token_counts(df: DataFrame, tokenizer_path: str, cache_path: str, limit: int
             yield pa.RecordBatch.from_arrays([pa.array([version] * len(n), pa.string()), batch.column(0), pa.array(n, pa.int64())], ["tokenizer", "digest", "n_tokens"])
 
     distinct.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    counts = _cached(spark, cache_path, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Written counts leave a plain join, whose hot partitions Spark can split.
+    counts = materialize(_cached(spark, cache_path, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     keys = rows.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     return keys.join(counts, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
