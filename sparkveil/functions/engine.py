@@ -52,10 +52,15 @@ class Span:
 
 
 class Reader:
-    """Context of positions in one text."""
+    """Context of positions in one text, and what it can't contain: finders skip a text that lacks
+    the digits, the sign or the words that all their matches need."""
 
     def __init__(self, text: str):
-        self.text = text
+        self.text, self.folded = text, text.casefold()
+        self.has_digit, self.has_at = says(text, r"\d"), "@" in text
+
+    def mentions(self, *words: str) -> bool:
+        return any(w in self.folded for w in words)
 
     def clause(self, start: int, end: int, radius: int) -> tuple[int, int]:
         """Up to ``radius`` characters to each side, cut at the nearest clause ends."""
@@ -192,8 +197,8 @@ def alnum_runs(text: str) -> Iterator[tuple[int, int, str]]:
 
 def everywhere(pattern: str, text: str) -> Iterator[re.Match]:
     """Matches from every start, overlapping ones included."""
-    at, seen = 0, set()
-    while m := rx(pattern).search(text, at):
+    at, seen = 0 if says(text, r"(?i)\sat\s") else len(text) + 1, set()
+    while at <= len(text) and (m := rx(pattern).search(text, at)):
         at = m.start() + 1
         if m.span() not in seen:
             seen.add(m.span())
@@ -231,7 +236,7 @@ def mixed_addresses(text: str) -> Iterator[tuple[int, int, str]]:
 
 def natural_dates(text: str) -> list[tuple[int, int, str]]:
     found = {}
-    for pattern, day, month in ((P.DATE_DMY, 1, 2), (P.DATE_MDY, 2, 1)):
+    for pattern, day, month in ((P.DATE_DMY, 1, 2), (P.DATE_MDY, 2, 1)) if says(text, r"(?:19|20)\d\d") else ():
         for m in rx(pattern).finditer(text):
             if iso := iso_date(int(m[3]), P.MONTHS[m[month].lower()], int(m[day])):
                 found[m.span()] = iso
@@ -239,7 +244,7 @@ def natural_dates(text: str) -> list[tuple[int, int, str]]:
 
 
 def spoken_dates(text: str) -> Iterator[tuple[int, int, str]]:
-    for m in rx(P.SPOKEN_DATE).finditer(text):
+    for m in rx(P.SPOKEN_DATE).finditer(text) if says(text, r"(?i)nineteen|thousand") else ():
         words = m[3].casefold().replace("-", " ").split()
         base, rest = (1900, words[1:]) if words[0] == "nineteen" else (2000, words[2:])
         values = [P.YEAR_WORDS.get(w) for w in rest if w != "and"]
@@ -261,9 +266,9 @@ def state_code(raw: str) -> str | None:
 
 def spoken_licenses(text: str) -> list[tuple[int, int, str]]:
     found = {}
-    for m in rx(P.SPOKEN_LICENSE).finditer(text):
+    for m in rx(P.SPOKEN_LICENSE).finditer(text) if says(text, P.DIGIT_RUN) else ():
         found[m.span()] = P.STATES[m[1].casefold()] + spoken_digits(m[2])
-    for m in rx(P.MIXED_LICENSE).finditer(text):
+    for m in rx(P.MIXED_LICENSE).finditer(text) if says(text, r"\d(?:[\s,.;:\-]*\d){8}") else ():
         if m.span() not in found and (code := state_code(m[1])):
             found[m.span()] = code + digits(m[2])
     return sorted((*k, v) for k, v in found.items() if re.fullmatch(P.CANONICAL["DRIVING_LICENSE"], v))
@@ -304,6 +309,8 @@ class Shape:
     valid: Callable[[re.Match, Reader], bool] = lambda m, r: True
 
     def candidates(self, reader: Reader) -> Iterator[Span]:
+        if not (reader.has_at if self.kind in ("EMAIL", "UPI") else reader.has_digit):
+            return
         for m in rx(self.pattern).finditer(reader.text):
             if self.valid(m, reader):
                 left = reader.role(m.start(), self.radius)
@@ -446,7 +453,7 @@ def addresses(reader: Reader) -> Iterator[Span]:
 
 
 def partial_identifiers(reader: Reader) -> Iterator[Span]:
-    for kind, evidence, pattern in P.PARTIAL:
+    for kind, evidence, pattern in P.PARTIAL if reader.has_digit and reader.mentions("card", "account") else ():
         for m in rx(pattern).finditer(reader.text):
             yield Span(kind, *m.span(1), m[1], 0.995, evidence, ownership=4, partial=True)
 
@@ -466,7 +473,7 @@ def credentials(reader: Reader) -> Iterator[Span]:
         x = Span(kind, m.start(2), m.start(2) + len(value), value, 0.99, evidence)
         return replace(x, confidence=0.25, method="context_veto", evidence=evidence + "+example_veto") if example else x
 
-    for pattern in (P.CREDENTIAL_ASSIGN, P.TOKEN_USE, P.ENV_ASSIGN):
+    for pattern in (P.CREDENTIAL_ASSIGN, P.TOKEN_USE, P.ENV_ASSIGN) if reader.mentions("pass", "user", "key", "secret", "token") else ():
         for m in rx(pattern).finditer(reader.text):
             value, label = m[2].rstrip(".,:;)"), plain(m[1])
             s, e = m.start(2), m.start(2) + len(value)
@@ -507,7 +514,7 @@ def _few_tokens(raw: str, most: int, edge: str) -> str:
 def raw_values(reader: Reader) -> Iterator[Span]:
     """Values that their owner names but that no shape fits, within hard limits of length."""
     text = reader.text
-    for kind, pattern, confidence, evidence, chars, tokens in P.RAW_ASSIGN:
+    for kind, pattern, confidence, evidence, chars, tokens in P.RAW_ASSIGN if reader.has_digit else ():
         for m in rx(pattern).finditer(text):
             if kind == "CARD" and says(text[max(0, m.start() - 32) : m.start()], P.RAW_CARD_TEST):
                 continue
@@ -526,7 +533,7 @@ def raw_values(reader: Reader) -> Iterator[Span]:
             if good:
                 yield Span(kind, s, s + len(raw), text[s : s + len(raw)], confidence, evidence, ownership=4, authority=2, raw=True)
     chars, tokens = next((x[4], x[5]) for x in P.RAW_ASSIGN if x[0] == "IFSC")
-    for m in rx(P.IFSC_TWO_SENTENCES).finditer(text):
+    for m in rx(P.IFSC_TWO_SENTENCES).finditer(text) if reader.mentions("ifsc") else ():
         spelled = spoken_alnum(_bare(f"{m['head'].strip()}. {m['tail'].strip()}"))
         if len(spelled) >= 8 and sum(map(str.isalpha, spelled)) >= 3 and sum(map(str.isdigit, spelled)) >= 4:
             s = m.start("head")
@@ -666,6 +673,8 @@ def answers(reader: Reader) -> Iterator[Span]:
     """A field asked for in one sentence may be answered in the next, and no later."""
     spans = reader.sentences()
     for (a, b), (s, e) in zip(spans, spans[1:]):
+        if not says(reader.text[s:e], P.ANSWER):
+            continue
         question = reader.text[a:b]
         kind = asked_type(question)
         if kind and not _holds_value(kind, question) and (found := answer(kind, reader.text[s:e], s)):
@@ -800,14 +809,16 @@ def swear_pattern(variant: str) -> str:
     return r"(?i)(?<![A-Za-z0-9])" + r"\s+".join(words) + "(?![A-Za-z0-9])"
 
 
+#: Look-alikes as one letter each, and the marks and spaces that a pattern allows between letters left out.
+_SAME = str.maketrans({c: letter for letter, cls in P.LEET.items() for c in cls[1:-1]} | {"l": "i", "1": "i", "|": "i", "!": "i"} | {c: None for c in "*#._- \t\n\r\x0b\x0c"})
 SWEARS = [(canonical, severity, variant, swear_pattern(variant)) for canonical, (severity, variants) in P.PROFANITY.items() for variant in variants]
 
 
 def profanity(text: str, least: int = 1) -> list[tuple[Span, int]]:
     """Spans (type PROFANITY, the canonical word in ``canonical``) with their severity."""
-    found = []
+    found, plain = [], "".join(text.casefold().translate(_SAME).split())
     for canonical, severity, variant, pattern in SWEARS:
-        for m in rx(pattern).finditer(text) if severity >= least else ():
+        for m in rx(pattern).finditer(text) if severity >= least and variant.translate(_SAME) in plain else ():
             exact = m[0].casefold() == variant
             confidence = 0.99 if exact else 0.95 if re.search("[a-z]", m[0].casefold()) else 0.92
             found.append((severity, Span("PROFANITY", m.start(), m.end(), m[0], confidence, "lexical_exact" if exact else "lexical_variant_or_obfuscation", canonical)))

@@ -14,7 +14,7 @@ from sparkveil.functions.spans import by_position, find, greedy, render
 from sparkveil.operators import evaluation, privacy, recovery, timeline, understanding
 from sparkveil.plans import analyze
 from sparkveil.plans import transcripts as T
-from sparkveil.session import ship, table
+from sparkveil.session import ship, spread, table
 from sparkveil.sources import audio
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -297,7 +297,7 @@ def word_errors(spark, sf_dir):
 @query()
 def protected_documents(spark, sf_dir):
     """All documents through the span engine: what is hidden, by type."""
-    rows = privacy.protect_documents(table(spark, sf_dir, "documents"), ids=True)
+    rows = privacy.protect_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ids=True)
     return rows.select("doc_id", F.size("protected.pii").alias("pii"), F.size("protected.financial_ids").alias("ids"), F.size("protected.profanity").alias("profanity"), F.sha2(F.encode("protected.safe_text", "utf-8"), 256).alias("safe_sha256"))
 
 
@@ -320,7 +320,7 @@ _TWICE = f"concat('My phone number is ', {T.PHONE}, ' ', {T.OTHER}, '.')"
 def _timed_calls(spark: SparkSession, sf_dir: str, text: str) -> tuple[DataFrame, DataFrame]:
     """One segment for each customer; the fifth word ends a pause that depends on the key modulo 3,
     and every third call is heard badly."""
-    rows = table(spark, sf_dir, "customer").where("c_custkey > 0").select(F.col("c_custkey").alias("call_id"), F.expr(text).alias("text"))
+    rows = spread(table(spark, sf_dir, "customer").where("c_custkey > 0").select("c_custkey")).select(F.col("c_custkey").alias("call_id"), F.expr(text).alias("text"))
     segs = rows.select("call_id", F.lit(0).alias("seg_id"), F.lit(0.0).alias("start"), F.lit(60.0).alias("end"), "text", F.lit("A").alias("speaker"))
     words = segs.select("call_id", "seg_id", F.posexplode(F.split("text", " ")).alias("word_idx", "word"))
     pause = F.when(F.col("word_idx") >= 5, F.when(F.col("call_id") % 3 == 1, 0.10).otherwise(0.65)).otherwise(0.05)

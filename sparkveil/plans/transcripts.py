@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkveil.session import table
+from sparkveil.session import spread, table
 
 #: A mobile number from a customer key, in Spark and in DuckDB.
 PHONE = "lpad(cast(6000000000 + (c_custkey * 7919) % 3999999999 as varchar(10)), 10, '0')"
@@ -34,7 +34,7 @@ VALUE_SQL = "CASE c_custkey % 8 " + " ".join(f"WHEN {i} THEN {value}" for i, (_,
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``call_id, text``, one sentence for each customer."""
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("call_id"), F.expr(UTTERANCE_SQL).alias("text"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey")).select(F.col("c_custkey").alias("call_id"), F.expr(UTTERANCE_SQL).alias("text"))
 
 
 #: A collection call about an order, by key modulo 5.
@@ -48,7 +48,7 @@ COLLECTION_SQL = """CASE o_orderkey % 5
 
 def collection_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``call_id, call_date, text``, one call for each order."""
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call_id"), F.to_date("o_orderdate").alias("call_date"), F.expr(COLLECTION_SQL).alias("text"))
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")).select(F.col("o_orderkey").alias("call_id"), F.to_date("o_orderdate").alias("call_date"), F.expr(COLLECTION_SQL).alias("text"))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan that is read by fewer tasks than the cluster has cores, dealt out to all of them for
+    costly work on each row. Large inputs have more splits than cores and stay as they are. Only for
+    plans without an exchange, as the number of their tasks is known before they run."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see (``spark.checkpoint.dir``).
 
