@@ -1,7 +1,5 @@
 """Recovery windows, suffix edits and the streaming form."""
 
-from pyspark.sql import functions as F
-
 from sparkveil.functions import engine as E
 from sparkveil.operators import recovery, timeline
 from sparkveil.streaming import protect as stream
