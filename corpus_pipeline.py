@@ -7,7 +7,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkveil.llm import byte_bpe, exact_dedup, quality, simhash, source_mix
+from sparkveil.llm import byte_bpe, exact_dedup, near_copies, quality, source_mix
 from sparkveil.llm.queries import WEIGHTS
 from sparkveil.session import materialize, table
 
@@ -25,7 +25,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return near_copies.one_of_each(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

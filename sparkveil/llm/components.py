@@ -7,7 +7,7 @@ comes to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkveil.session import drop_path, materialize
@@ -47,3 +47,32 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         current, done = _star_round(current)
         for path in done:
             drop_path(spark, path)
+
+
+def row_key(text: Column) -> Column:
+    """What tells rows of one id apart: a digest of the text, null counting as empty."""
+    return F.md5(F.encode(F.coalesce(text.cast("string"), F.lit("")), "utf-8"))
+
+
+def one_row_each(df: DataFrame, members: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that come first in their component, one for each.
+
+    ``members`` has ``id, key, root`` for every row, the key being ``row_key``. Rows rank by id, nulls
+    last, then by key, so a null or reused id never takes unlinked texts along. Of rows that agree in
+    id and text one stays.
+    """
+    members = materialize(members, "component-members")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    best = members.groupBy("root").agg(F.min(rank).alias("best"))
+    gone = members.join(best, "root").where(~((F.col("key") == F.col("best.key")) & F.col("id").eqNullSafe(F.col("best.id"))))
+    gone = materialize(gone.select(F.col("id").alias("_gone"), F.col("key").alias("_gone_key")).distinct(), "component-gone")
+    names = df.columns
+    rows = df.withColumn("_row_id", F.col(id_col).cast("long")).withColumn("_row_key", row_key(F.col(text_col)))
+    kept = rows.join(gone, F.col("_row_id").eqNullSafe(F.col("_gone")) & (F.col("_row_key") == F.col("_gone_key")), "left_anti")
+    repeated = members.groupBy(F.col("id").alias("_again"), F.col("key").alias("_again_key")).count().where("count > 1").drop("count")
+    if not repeated.isEmpty():
+        same = F.col("_row_id").eqNullSafe(F.col("_again")) & (F.col("_row_key") == F.col("_again_key"))
+        order = Window.partitionBy("_row_id", "_row_key").orderBy(*names)
+        once = kept.join(repeated, same, "left_semi").withColumn("_copy", F.row_number().over(order)).where("_copy = 1").drop("_copy")
+        kept = kept.join(repeated, same, "left_anti").unionByName(once)
+    return kept.select(*names)
