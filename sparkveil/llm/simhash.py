@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkveil.llm.components import connected_components
+from sparkveil.llm.components import connected_components, one_row_each, row_key
 from sparkveil.session import materialize, ship
 
 RADIUS, BYTES = 3, 8
@@ -98,6 +98,19 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(run, "id long, fp long")
 
 
+def _fingerprint_rows(df: DataFrame, id_col: str, text_col: str, width: int, seed: int) -> DataFrame:
+    """``id, key, fp`` for every row, the key being ``row_key``."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.fromiter((fingerprint(x.as_py(), width, seed) for x in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["id", "key", "fp"])
+
+    rows = df.select(F.col(id_col).cast("long").alias("id"), row_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "id long, key string, fp long")
+
+
 def _keys(fp: str = "fp"):
     """The 24 keys of a fingerprint: which bytes, in the upper bits, and the four bytes."""
     byte = [F.shiftrightunsigned(F.col(fp), 56 - 8 * i).bitwiseAND(255) for i in range(BYTES)]
@@ -199,6 +212,13 @@ def near_links(classes: DataFrame, cap: int = CAP) -> DataFrame:
     return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_link_groups, "a long, b long").distinct()
 
 
+def _rooted(fps: DataFrame, cap: int) -> DataFrame:
+    """``fp, least, root`` of the distinct fingerprints: their smallest id and their component."""
+    classes = materialize(fps.groupBy("fp").agg(F.min("id").alias("least")), "fingerprint-classes")
+    roots = connected_components(near_links(classes, cap))
+    return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, cap: int = CAP) -> DataFrame:
     """One row per input row: ``doc_id, fingerprint`` (16 hex digits) and ``component_id``, the
     smallest id that links of at most 3 differing bits reach, itself included.
@@ -209,17 +229,15 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     columns are ignored.
     """
     fps = materialize(fingerprints(df, id_col, text_col, width, seed), "fingerprints")
-    classes = materialize(fps.groupBy("fp").agg(F.min("id").alias("least")), "fingerprint-classes")
-    roots = connected_components(near_links(classes, cap))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(fps, cap)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return fps.join(labels, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of ``df`` without those whose component has a smaller id. Rows with a null id stay
-    if no id that isn't null reaches them."""
-    found = near_dedup(df, id_col, text_col, **kw)
-    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    return df.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti").select(*df.columns)
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, cap: int = CAP) -> DataFrame:
+    """The rows of ``df`` without those whose component has a row that ranks before them, see
+    ``components.one_row_each``."""
+    rows = materialize(_fingerprint_rows(df, id_col, text_col, width, seed), "fingerprints")
+    members = rows.join(_rooted(rows, cap).select("fp", "root"), "fp").select("id", "key", "root")
+    return one_row_each(df, members, id_col, text_col)
