@@ -44,7 +44,7 @@ STAGES = [
     ("encode", encoded),
 ]
 
-#: A classifier, fingerprints and a tokenizer are not SQL; tests/llm compares run() with brute force.
+#: A classifier, fingerprints and a tokenizer are not SQL; tests/llm compares run() behind the quality stage with brute force.
 ORACLE_SQL = None
 
 
