@@ -66,13 +66,16 @@ def one_row_each(df: DataFrame, members: DataFrame, id_col: str = "doc_id", text
     best = members.groupBy("root").agg(F.min(rank).alias("best"))
     gone = members.join(best, "root").where(~((F.col("key") == F.col("best.key")) & F.col("id").eqNullSafe(F.col("best.id"))))
     gone = materialize(gone.select(F.col("id").alias("_gone"), F.col("key").alias("_gone_key")).distinct(), "component-gone")
+    # Columns may have any names, so they are addressed by position.
     names = df.columns
-    rows = df.withColumn("_row_id", F.col(id_col).cast("long")).withColumn("_row_key", row_key(F.col(text_col)))
+    packed = df.toDF(*[f"c{i}" for i in range(len(names))])
+    doc_id, text = (F.col(f"c{names.index(c)}") for c in (id_col, text_col))
+    rows = packed.withColumn("_row_id", doc_id.cast("long")).withColumn("_row_key", row_key(text))
     kept = rows.join(gone, F.col("_row_id").eqNullSafe(F.col("_gone")) & (F.col("_row_key") == F.col("_gone_key")), "left_anti")
     repeated = members.groupBy(F.col("id").alias("_again"), F.col("key").alias("_again_key")).count().where("count > 1").drop("count")
     if not repeated.isEmpty():
         same = F.col("_row_id").eqNullSafe(F.col("_again")) & (F.col("_row_key") == F.col("_again_key"))
-        order = Window.partitionBy("_row_id", "_row_key").orderBy(*names)
+        order = Window.partitionBy("_row_id", "_row_key").orderBy(*packed.columns)
         once = kept.join(repeated, same, "left_semi").withColumn("_copy", F.row_number().over(order)).where("_copy = 1").drop("_copy")
         kept = kept.join(repeated, same, "left_anti").unionByName(once)
-    return kept.select(*names)
+    return kept.select(*packed.columns).toDF(*names)

@@ -1,18 +1,22 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash keys, then exact verification.
+"""Near copies: the links of ``simhash`` and MinHash bands propose, shingle sets decide.
 
-A text's shingles are those of ``simhash``: ASCII lower case, runs of ``width`` words, a shorter text
-is one shingle, a text without words has none. Here they are a set of 64-bit hashes. Texts with the
-same set are one class.
+A text's shingles are those of ``simhash``, of ``width`` words; here they are a set of 64-bit hashes.
+Texts with the same set are one class, and classes are linked at a Jaccard similarity of 0.8 or more.
 
-Keys: 160 minima of the set under as many orders, in 32 bands of 5. Two sets of similarity s share a
-band with a probability of 1 - (1 - s^5)^32: 0.999997 at 0.8, more above, 0.08 at 0.3. Pairs that
-share a key and whose sizes allow 0.8 are compared shingle by shingle, in whole numbers, so nothing
-below the threshold is ever linked.
+Proposals: equal fingerprints of these shingles, and the links of ``simhash`` between them (pigeonring
+filtering at 3 of 64 bits), are one family of keys. They hold the closest copies only: at 0.8 two
+fingerprints differ in 10 bits on average, and no choice of equal bytes selects at such a radius. So 160 minima of
+the set under as many orders, in 32 bands of 5, give 32 more keys. Two sets of similarity s share a
+band with a probability of 1 - (1 - s^5)^32: 0.999997 at 0.8, more above, 0.08 at 0.3.
 
-A group of n texts is not compared pair by pair where that decides nothing: in each of ``STARS``
-rounds a class is compared only with the least member, of all its keys, that it shares most keys
-with. Then all pairs of a key that are still in different components are compared, so no link
-between components that the keys offer is left out.
+Decisions: the classes of a key meet in one task with their sets, are compared shingle by shingle in
+whole numbers, and give a spanning forest, never all pairs of a group. Of keys with the same members
+one is compared. A key with over ``cap`` hashes is cut into cells:
+
+1. Of the keys of ``simhash`` and the first bands, each part of a key is compared in itself. The
+   parts differ from key to key, so that a large group of copies grows together.
+2. Of all keys whose members are still in different components, the part of the largest component is
+   compared with all others, and these with each other, so no link that a key offers is left out.
 """
 
 from __future__ import annotations
@@ -25,36 +29,31 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkveil.llm import simhash
 from sparkveil.llm.components import connected_components, one_row_each, row_key
-from sparkveil.llm.simhash import CAP, _words
 from sparkveil.session import materialize, ship
 
 WIDTH = 5
 #: Similarity of at least 4/5.
 OVER, UNDER = 4, 5
 BANDS, ROWS = 32, 5
-STARS = 2
+#: The keys of the first step: those of ``simhash``, and the bands before this one.
+FIRST = 6
+#: Hashes of one cell's sets, 4 MB, as far as more than two of its classes are concerned.
+CAP = 1 << 19
 _SEED = 42
 _ORDERS = np.random.default_rng(_SEED).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles."""
-    parts, rest, digest, long_enough = [], [], xxhash.xxh64_digest, False
-    for words in _words((text or "").encode("utf-8", "surrogatepass").lower()):
-        words = rest + words
-        if len(words) >= width:
-            joined = b" ".join(words)
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-            starts = np.concatenate(([0], ends[: len(words) - width])).tolist()
-            hashes = b"".join([digest(joined[s:e], _SEED) for s, e in zip(starts, (ends[width - 1 :] - 1).tolist())])
-            parts.append(np.unique(np.frombuffer(hashes, np.uint64)))
-            rest, long_enough = words[len(words) - width + 1 :], True
-        else:
-            rest = words
-    if rest and not long_enough:
-        parts.append(np.frombuffer(digest(b" ".join(rest), _SEED), np.uint64))
-    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+def sketch(text: str | None, width: int = WIDTH) -> tuple[np.ndarray, int]:
+    """The sorted distinct hashes of a text's shingles, and the fingerprint of all of them."""
+    parts, counts, total = [], np.zeros(64, np.int64), 0
+    for hashes in simhash.shingle_hashes(text, width, _SEED):
+        counts += simhash.bit_counts(hashes)
+        total += len(hashes) // 8
+        parts.append(np.unique(np.frombuffer(hashes, np.uint64)))
+    found = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+    return found, simhash.majority(counts, total)
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
@@ -69,104 +68,173 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
+def _signed(values) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
 def _sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``id, key, node, proof, n, bands`` for every row: its class is ``node``."""
+    """``id, key, node, proof, n, fp, bands`` for every row: its class is ``node``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(x.as_py(), width) for x in batch.column(2)]
-            node, proof = ([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets] for seed in (0, 1))
-            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, proof)]
-            n = pa.array([len(s) for s in sets], pa.int64())
-            bands = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *signed, n, bands], ["id", "key", "node", "proof", "n", "bands"])
+            made = [sketch(x.as_py(), width) for x in batch.column(2)]
+            node, proof = ([xxhash.xxh64_intdigest(s.tobytes(), seed) for s, _ in made] for seed in (0, 1))
+            n = pa.array([len(s) for s, _ in made], pa.int64())
+            bands = pa.array([band_keys(s) for s, _ in made], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _signed(node), _signed(proof), n, _signed([f for _, f in made]), bands], ["id", "key", "node", "proof", "n", "fp", "bands"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), row_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, key string, node long, proof long, n long, bands array<long>")
+    return rows.mapInArrow(run, "id long, key string, node long, proof long, n long, fp long, bands array<long>")
 
 
 def _sets(df: DataFrame, wanted: DataFrame, text_col: str, width: int) -> DataFrame:
-    """``node, hashes`` of the classes in ``wanted`` (node, key of one of its texts)."""
+    """``node, hashes`` (binary) of the classes in ``wanted`` (node, key of one of its texts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(x.as_py(), width).view(np.int64).tolist() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
+            sets = [sketch(x.as_py(), width)[0].tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
 
     texts = df.select(row_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
     found = texts.join(wanted, "key").select("node", "text")
-    return found.mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"])
-
+    return found.mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"])
 
-def _may_reach(a: Column, b: Column) -> Column:
-    return F.least(a, b) * UNDER >= F.greatest(a, b) * OVER
 
+def _similar(common, a, b):
+    """common / union of at least OVER / UNDER, in whole numbers."""
+    return common * (OVER + UNDER) >= (a + b) * OVER
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose sets have common / union of at least OVER / UNDER."""
-    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").where(common * (OVER + UNDER) >= (F.size("x") + F.size("y")) * OVER).select("a", "b")
-
-
-def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-
-def _star_pairs(rows: DataFrame, tried: DataFrame | None) -> DataFrame:
-    """``a, b``: each class with the pivot of its keys that it shares most keys with."""
-    pivots = rows.groupBy("key").agg(F.min(F.struct("node", "n", "root")).alias("p"))
-    pairs = rows.join(pivots, "key").where(F.col("root") != F.col("p.root")).where(_may_reach(F.col("n"), F.col("p.n")))
-    pairs = pairs.groupBy(F.col("p.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    if tried is not None:
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    return pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
-
-
-def _all_pairs(rows: DataFrame, cap: int) -> DataFrame:
-    """``a, b``: all pairs of a key in different components. A key of over ``cap`` classes is cut into
-    parts, and every two of them meet in a task of their own."""
-    parts = F.ceil(F.col("members") / F.lit(cap)).cast("int")
-    cut = (
-        rows.withColumn("parts", parts)
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "n", "root")
+def forest(nodes: list[int], roots: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect what the links among these classes connect; members of one root are
+    connected already."""
+    if len(nodes) == 2:
+        common = len(np.intersect1d(sets[0], sets[1], assume_unique=True)) if roots[0] != roots[1] else 0
+        return [(nodes[0], nodes[1])] if common and _similar(common, len(sets[0]), len(sets[1])) else []
+    todo: dict[int, list[int]] = {}
+    for i, r in enumerate(roots):
+        todo.setdefault(r, []).append(i)
+    if len(todo) < 2:
+        return []
+    size = np.array([len(s) for s in sets])
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.split(flat, np.cumsum(size)[:-1])
+    flag, links = np.zeros(len(names), bool), []
+    for start in sorted(todo, key=lambda r: (int(size[todo[r]].sum()), r)):
+        front = todo.pop(start, [])
+        rest = np.array([i for part in todo.values() for i in part], np.int64)
+        words = np.concatenate([held[i] for i in rest]) if front and len(rest) else None
+        while front and len(rest):
+            x = front.pop()
+            flag[held[x]] = True
+            common = np.add.reduceat(flag[words], np.cumsum(size[rest]) - size[rest], dtype=np.int64)
+            flag[held[x]] = False
+            hits = rest[_similar(common, size[x], size[rest])]
+            for i in hits.tolist():
+                if roots[i] in todo:
+                    links.append((nodes[x], nodes[i]))
+                    front += todo.pop(roots[i])
+            if len(hits):
+                rest = np.array([i for part in todo.values() for i in part], np.int64)
+                words = np.concatenate([held[i] for i in rest]) if len(rest) else None
+    return links
+
+
+def _link_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``cell, node, root, hashes`` sorted by cell in; links out."""
+    cell, held = None, ([], [], [])
+
+    def out(links: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        cells, nodes, roots = (batch.column(i).to_pylist() for i in range(3))
+        for c, node, root, data in zip(cells, nodes, roots, batch.column(3)):
+            if c != cell:
+                yield from out(forest(*held) if len(held[0]) > 1 else [])
+                cell, held = c, ([], [], [])
+            for part, x in zip(held, (node, root, np.frombuffer(data.as_buffer(), np.uint64).copy())):
+                part.append(x)
+    yield from out(forest(*held) if len(held[0]) > 1 else [])
+
+
+def _links(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``a, b`` of the cells' rows (cell, node, root)."""
+    rows = cells.join(sets, "node").select("cell", "node", "root", "hashes")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_link_cells, "a long, b long").distinct()
+
+
+def _parts(mass: Column, members: Column, cap: int) -> Column:
+    return F.greatest(F.lit(1), F.least(members, F.ceil(mass / F.lit(cap)))).cast("int")
+
+
+def _inside(rows: DataFrame, cap: int) -> DataFrame:
+    """``cell, node, root`` of the first step: each part of a key by itself."""
+    part = F.pmod(F.xxhash64("key", "node"), _parts(F.col("mass"), F.col("members"), cap))
+    return rows.where(F.col("band") < FIRST).select(F.xxhash64("key", part).alias("cell"), "node", F.col("node").alias("root"))
+
+
+def _open_keys(rows: DataFrame, cap: int) -> DataFrame:
+    """``key, big, a, o``: the keys to compare in the second step, the largest component of each, and
+    the parts of its members and of all others."""
+    left = rows.where((F.col("band") >= FIRST) | (_parts(F.col("mass"), F.col("members"), cap) > 1))
+    by_root = left.groupBy("key", "root").agg(F.sum("n").alias("mass"), F.count(F.lit(1)).alias("members"))
+    rank = F.struct("mass", "root")
+    found = by_root.groupBy("key").agg(
+        F.count(F.lit(1)).alias("roots"), F.max_by("root", rank).alias("big"), F.max("mass").alias("mass"), F.max_by("members", rank).alias("members"), F.sum("mass").alias("all_mass"), F.sum("members").alias("all_members")
     )
-    other = cut.select("key", "lo", "hi", *[F.col(c).alias(f"{c}_") for c in ("own", "node", "n", "root")])
-    pairs = cut.join(other, ["key", "lo", "hi"]).where("node < node_ and root != root_ and (lo = hi or own != own_)").where(_may_reach(F.col("n"), F.col("n_")))
-    return pairs.select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct()
+    others = _parts(F.col("all_mass") - F.col("mass"), F.col("all_members") - F.col("members"), cap)
+    return found.where("roots > 1").select("key", "big", _parts(F.col("mass"), F.col("members"), cap).alias("a"), others.alias("o"))
+
+
+def _across(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``cell, node, root`` of the second step: (0, part of the largest component, part of the others)
+    and (1, part, other part of the others)."""
+    is_big = F.col("root") == F.col("big")
+    joined = rows.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("key", "node"), F.when(is_big, F.col("a")).otherwise(F.col("o"))).cast("int"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    cell = lambda kind, lo, hi: F.struct(F.lit(kind).alias("kind"), lo.alias("lo"), hi.alias("hi"))
+    own = F.col("own")
+    of_big = F.transform(upto("o"), lambda q: cell(0, own, q))
+    of_other = F.concat(F.transform(upto("a"), lambda i: cell(0, i, own)), F.transform(F.filter(upto("o"), lambda q: q != own), lambda q: cell(1, F.least(q, own), F.greatest(q, own))))
+    cells = joined.select("key", "node", "root", F.explode(F.when(is_big, of_big).otherwise(of_other)).alias("c"))
+    return cells.select(F.xxhash64("key", "c.kind", "c.lo", "c.hi").alias("cell"), "node", "root")
+
+
+def _keys(classes: DataFrame) -> DataFrame:
+    """``key, node, n, band, mass, members`` of the keys that classes share, one for each set of
+    members. Band 0 are equal fingerprints, and links of ``simhash`` between a class of either."""
+    worded = classes.where("n > 0")
+    own = worded.select("node", "n", F.posexplode(F.concat(F.array(F.xxhash64(F.lit("fp"), "fp")), "bands")).alias("band", "key"))
+    of = materialize(worded.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("x")).select("fp", "x.node", "x.n"), "near-fingerprints")
+    links = simhash.near_links(of.select("fp")).select(F.xxhash64(F.lit("link"), "a", "b").alias("key"), F.explode(F.array("a", "b")).alias("fp"))
+    keyed = own.unionByName(links.join(of, "fp").select("node", "n", F.lit(0).alias("band"), "key"))
+    who = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"who{i}") for i in (1, 2)]
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("band").alias("band"), F.sum("n").alias("mass"), *who).where("members > 1")
+    chosen = shared.groupBy("members", "mass", "who1", "who2").agg(F.min(F.struct("band", "key")).alias("k")).select("k.key", "k.band", "mass", "members")
+    return keyed.drop("band").join(chosen, "key")
 
 
 def _roots(df: DataFrame, sketches: DataFrame, text_col: str, width: int, cap: int) -> DataFrame:
     """``node, root`` of the classes that are linked to a smaller one."""
-    classes = sketches.groupBy("node").agg(F.min("proof").alias("low"), F.max("proof").alias("high"), F.min("key").alias("text"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = sketches.groupBy("node").agg(F.min("proof").alias("low"), F.max("proof").alias("high"), F.min("key").alias("text"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     classes = materialize(classes, "near-classes")
     if not classes.where("low != high").isEmpty():
         raise ValueError("different shingle sets share a hash")
-    keys = classes.select("node", "n", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    rows = materialize(keys.join(shared, "key"), "near-keys")
+    rows = materialize(_keys(classes), "near-keys")
     wanted = rows.select("node").distinct().join(classes.select("node", F.col("text").alias("key")), "node")
     sets = materialize(_sets(df, wanted, text_col, width), "near-sets")
-    links = tried = None
-    roots = classes.select("node", F.col("node").alias("root")).limit(0)
-    for step in range(STARS + 1):
-        own = _with_roots(rows, roots)
-        open_ = own.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low != _high").select("key")
-        open_ = materialize(open_, "near-open")
-        if open_.isEmpty():
-            break
-        own = own.join(open_, "key")
-        pairs = _star_pairs(own, tried) if step < STARS else _all_pairs(own, cap).join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "near-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = materialize(_verified(pairs, sets), "near-links")
-        links = found if links is None else links.unionByName(found)
-        if not found.isEmpty():
-            roots = connected_components(links)
-    return roots
+    first = connected_components(_links(_inside(rows, cap), sets))
+    rows = _with_roots(rows, first)
+    keys = materialize(_open_keys(rows, cap), "near-open")
+    if keys.isEmpty():
+        return first
+    return connected_components(first.toDF("a", "b").unionByName(_links(_across(rows, keys), sets)))
+
+
+def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def labelled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, cap: int = CAP) -> DataFrame:
@@ -178,7 +246,10 @@ def labelled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, cap: int = CAP) -> DataFrame:
     """The rows of ``df`` without those whose component has a row that ranks before them, see
-    ``components.one_row_each``. A null text counts as empty, texts without words are near copies of
-    each other and of nothing else, an empty table gives an empty result and columns may have any
-    names."""
+    ``components.one_row_each``.
+
+    Defined cases: a null text counts as empty; texts without words are near copies of each other and
+    of nothing else; a text of any length is read whole, a chunk at a time; of equal rows one stays; an
+    empty table gives an empty result; columns may have any names.
+    """
     return one_row_each(df, labelled(df, id_col, text_col, width, cap), id_col, text_col)

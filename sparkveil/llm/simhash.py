@@ -49,30 +49,39 @@ def _words(data: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """The unsigned 64-bit fingerprint of one text."""
-    counts, total, rest = np.zeros(64, np.int64), 0, []
-    digest = xxhash.xxh64_digest
+def shingle_hashes(text: str | None, width: int = 3, seed: int = 42) -> Iterator[bytes]:
+    """The XXH64 of a text's shingles, 8 bytes each, in order and with repeats, a chunk of the text at
+    a time. A shorter text is one shingle; a text without words has none."""
+    rest, long_enough, digest = [], False, xxhash.xxh64_digest
     for words in _words((text or "").encode("utf-8", "surrogatepass").lower()):
         words = rest + words
         if len(words) >= width:
             joined = b" ".join(words)
             ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
             starts = np.concatenate(([0], ends[: len(words) - width])).tolist()
-            hashes = b"".join([digest(joined[s:e], seed) for s, e in zip(starts, (ends[width - 1 :] - 1).tolist())])
-            total += len(starts)
-            counts += _bits(hashes)
-            rest = words[len(words) - width + 1 :]
+            yield b"".join([digest(joined[s:e], seed) for s, e in zip(starts, (ends[width - 1 :] - 1).tolist())])
+            rest, long_enough = words[len(words) - width + 1 :], True
         else:
             rest = words
-    if total == 0:
-        if not rest:
-            return 0
-        return xxhash.xxh64_intdigest(b" ".join(rest), seed)
+    if rest and not long_enough:
+        yield digest(b" ".join(rest), seed)
+
+
+def majority(counts: np.ndarray, total: int) -> int:
+    """The fingerprint whose bits are set in over half of ``total`` hashes."""
     return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
 
 
-def _bits(hashes: bytes) -> np.ndarray:
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """The unsigned 64-bit fingerprint of one text; 0 if it has no word."""
+    counts, total = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, width, seed):
+        counts += bit_counts(hashes)
+        total += len(hashes) // 8
+    return majority(counts, total)
+
+
+def bit_counts(hashes: bytes) -> np.ndarray:
     """How many of the 8-byte hashes have each bit set."""
     out = np.zeros(64, np.int64)
     rows = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
@@ -229,9 +238,9 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     columns are ignored.
     """
     fps = materialize(fingerprints(df, id_col, text_col, width, seed), "fingerprints")
-    rooted = _rooted(fps, cap)
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
+    classes = _rooted(fps, cap)
+    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = classes.select("fp", "root").join(least, "root").select("fp", "component_id")
     return fps.join(labels, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
