@@ -117,9 +117,10 @@ class BytePairEncoder:
         byte = {t[0]: i for i, t in enumerate(self.tokens) if len(t) == 1}
         self.of_byte = [byte[i] for i in range(256)]
         self.pairs = _PairRanks(tokens, vocabulary)
-        self._piece = Memo(self._piece_ids)
-        self._chunk = Memo(self._ids)
-        self._spaced = Memo(self._spaced_ids, most=500_000)
+        # A worker keeps these for as long as it lives: some 60 MB when all are full.
+        self._piece = Memo(self._piece_ids, most=60_000)
+        self._chunk = Memo(self._ids, most=30_000)
+        self._spaced = Memo(self._spaced_ids, most=120_000)
 
     def merge(self, data: bytes) -> list[int]:
         """The ids of one pre-token by the heap of possible merges over its linked bytes.
