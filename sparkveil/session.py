@@ -8,7 +8,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parent
 _SHIPPED = "_sparkveil_shipped"
@@ -45,6 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def named(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A scan that is read by fewer tasks than the cluster has cores, dealt out to all of them for
     costly work on each row. Large inputs have more splits than cores and stay as they are. Only for
@@ -101,9 +107,3 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     sc = spark.sparkContext
     p = sc._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
-
-
-def path_bytes(spark: SparkSession, path: str) -> int:
-    sc = spark.sparkContext
-    p = sc._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
