@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from sparkveil.functions.scalars import digits
+from sparkveil.session import materialize, ship
 
 
 def score_value(kind: Column, value: Column) -> Column:
@@ -44,15 +45,54 @@ def threshold_sweep(expected: DataFrame, found: DataFrame, thresholds: list[floa
     return rates(multiset_counts(e, f, ["threshold"]))
 
 
+def case_rows(cases: DataFrame) -> DataFrame:
+    """``id, tp, fp, fn, negative, leaked, passed`` of each case: ``cases`` has id, ``expected`` and
+    ``found`` (arrays of structs type, value) and ``safe_text``. The two are compared as multisets; a
+    case leaks if an expected value stands in its safe text."""
+
+    def keys(spans: Column) -> Column:
+        return F.transform(spans, lambda x: F.struct(x["type"].alias("type"), score_value(x["type"], x["value"]).alias("value")))
+
+    rows = cases.select("id", "expected", "safe_text", keys(F.col("expected")).alias("e"), keys(F.col("found")).alias("f"))
+    times = lambda xs, k: F.size(F.filter(xs, lambda x: x == k))
+    both = F.aggregate(F.array_distinct("e"), F.lit(0), lambda n, k: n + F.least(times(F.col("e"), k), times(F.col("f"), k)))
+    leaked = F.exists("expected", lambda x: F.contains(F.col("safe_text"), x["value"]))
+    rows = rows.select("id", both.alias("tp"), F.size("e").alias("_e"), F.size("f").alias("_f"), leaked.alias("leaked"))
+    out = rows.select("id", "tp", (F.col("_f") - F.col("tp")).alias("fp"), (F.col("_e") - F.col("tp")).alias("fn"), (F.col("_e") == 0).alias("negative"), "leaked")
+    return out.withColumn("passed", (F.col("fp") == 0) & (F.col("fn") == 0) & ~F.col("leaked"))
+
+
+def case_summary(rows: DataFrame) -> DataFrame:
+    """One row: the sums and rates of ``case_rows``, the share of negative cases with a false find, and
+    the cases that leak."""
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
+    hit = F.col("negative") & (F.col("fp") > 0)
+    sums = rows.agg(count(F.col("tp")).alias("tp"), count(F.col("fp")).alias("fp"), count(F.col("fn")).alias("fn"), count(F.col("negative")).alias("negative_cases"), count(hit).alias("negative_cases_with_fp"), count(F.col("leaked")).alias("mask_failure_cases"))
+    rate = F.when(F.col("negative_cases") > 0, F.col("negative_cases_with_fp") / F.col("negative_cases")).otherwise(0.0)
+    return rates(sums).withColumn("negative_case_false_positive_rate", rate)
+
+
 def nearest_rank(values: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """Percentiles by nearest rank: the value at position round((n - 1) * share) of the order. The
-    values are counted first, so the order is over distinct values."""
+    """Percentiles by nearest rank: the value at position round((n - 1) * share) of the order.
+
+    The values are counted, and the distinct ones dealt out by ranges. Each range finds its sum; the
+    sums of the ranges, one row for each task, give every range its first position, and only ranges
+    that hold a wanted position are numbered.
+    """
     counts = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    total = counts.agg(F.sum("c").alias("n"))
-    upto = counts.withColumn("hi", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    # one row of totals
-    ranks = total.select(F.explode(F.array(*[F.struct(F.lit(s).alias("share"), F.bround((F.col("n") - 1) * s).cast("long").alias("rank")) for s in shares])).alias("x")).select("x.*")
-    return ranks.join(upto, (F.col("hi") > F.col("rank")) & (F.col("hi") - F.col("c") <= F.col("rank"))).select("share", F.col("v").alias("value"))
+    ranges = materialize(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "ranks")
+    sums = ranges.groupBy("part").agg(F.sum("c").alias("n")).orderBy("part").collect()  # a row for each task
+    total, at, wanted = sum(r["n"] for r in sums), 0, []
+    places = {s: round((total - 1) * s) for s in shares} if total else {}
+    for r in sums:
+        wanted += [(r["part"], s, k - at) for s, k in places.items() if at <= k < at + r["n"]]
+        at += r["n"]
+    spark = values.sparkSession
+    ranks = spark.createDataFrame(wanted, "part int, share double, rank long")
+    inside = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = ranges.join(F.broadcast(ranks.select("part").distinct()), "part", "left_semi").withColumn("hi", F.sum("c").over(inside))  # a row for each share
+    hit = (F.col("hi") > F.col("rank")) & (F.col("hi") - F.col("c") <= F.col("rank"))
+    return upto.join(F.broadcast(ranks), "part").where(hit).select("share", F.col("v").alias("value"))
 
 
 def word_errors(reference: Column, heard: Column) -> Column:
@@ -67,7 +107,7 @@ def word_errors(reference: Column, heard: Column) -> Column:
 
 
 def word_error_rate(reference: str, heard: str) -> float:
-    ref, hyp = (re.findall(r"\w+", t.casefold()) for t in (reference, heard))
+    ref, hyp = (re.findall(r"[\w@.+-]+", t.casefold()) for t in (reference, heard))
     row = list(range(len(hyp) + 1))
     for i, a in enumerate(ref, 1):
         before, row[0] = row[0], i
@@ -89,6 +129,65 @@ def interval_coverage(gold: DataFrame, found: DataFrame, keys: list[str] = ["cal
     return g.join(f, on, "left").groupBy(*cols).agg(F.coalesce(F.max(F.when(span > 0, shared / span)), F.lit(0.0)).alias("covered"))
 
 
+def entity_key(value: Column) -> Column:
+    """The form in which a manifest's values are compared: lower-case letters and digits."""
+    return F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), "[^a-z0-9]+", "")
+
+
+def manifest_rows(manifest: DataFrame, results: DataFrame) -> DataFrame:
+    """Each row of a manifest (id, transcript, pii, profanity, gold_intervals) against the result of its
+    call (id, text, pii and profanity as structs type, value, token_ids, intervals as structs types,
+    start, end, and real_time_factor): ``id, wer, pii_tp, pii_fp, pii_fn, profanity_tp, profanity_fp,
+    profanity_fn, alignment_coverage, redaction_coverage, real_time_factor``.
+
+    Without a transcript there is no word error rate, and without gold intervals no coverage.
+    """
+    ship(manifest.sparkSession)
+    r = results.select(*[F.col(c).alias(f"_{c}") for c in ("id", "text", "pii", "profanity", "intervals", "real_time_factor")])
+    rows = manifest.join(r, F.col("id") == F.col("_id"), "left")
+    none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind))
+    pair = lambda x: F.concat(F.upper(x["type"]), F.lit(":"), entity_key(x["value"]))
+    value = lambda kind: f"array<struct<type:string,value:string{kind}>>"
+    gold, own = F.transform(none("pii", value("")), pair), F.transform(none("_pii", value(",token_ids:array<int>")), pair)
+    gold_rude, own_rude = F.transform(none("profanity", "array<string>"), entity_key), F.transform(none("_profanity", value("")), lambda x: entity_key(x["value"]))
+
+    def common(a: Column, b: Column) -> Column:
+        times = lambda xs, k: F.size(F.filter(xs, lambda x: x == k))
+        return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, k: n + F.least(times(a, k), times(b, k)))
+
+    def covered(g: Column) -> Column:
+        size = F.greatest(g["end"] - g["start"], F.lit(1e-6))
+        fits = F.filter("_intervals", lambda p: g["type"].isNull() | (g["type"] == "") | F.array_contains(p["types"], g["type"]))
+        best = F.aggregate(fits, F.lit(0.0), lambda m, p: F.greatest(m, F.least(g["end"], p["end"]) - F.greatest(g["start"], p["start"])))
+        return F.least(F.lit(1.0), best / size)
+
+    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda n, x: n + x) / F.size(xs)
+    aligned = F.size(F.filter("_pii", lambda x: F.size(x["token_ids"]) > 0))
+    counts = lambda kind, tp, a, b: [tp.alias(f"{kind}_tp"), (F.size(b) - tp).alias(f"{kind}_fp"), (F.size(a) - tp).alias(f"{kind}_fn")]
+    return rows.select(
+        "id",
+        F.when(F.coalesce("transcript", F.lit("")) != "", F.round(word_errors(F.col("transcript"), F.col("_text")), 4)).alias("wer"),
+        *counts("pii", common(gold, own), gold, own),
+        *counts("profanity", common(gold_rude, own_rude), gold_rude, own_rude),
+        F.round(F.when(F.coalesce(F.size("_pii"), F.lit(0)) > 0, aligned / F.size("_pii")).otherwise(1.0), 4).alias("alignment_coverage"),
+        F.round(F.when(F.coalesce(F.size("gold_intervals"), F.lit(0)) > 0, F.coalesce(mean(F.transform("gold_intervals", covered)), F.lit(0.0))), 4).alias("redaction_coverage"),
+        F.col("_real_time_factor").alias("real_time_factor"),
+    )
+
+
+def manifest_summary(rows: DataFrame) -> DataFrame:
+    """One row of totals and means over ``manifest_rows``, with precision, recall and F1 of both kinds
+    (0 without a case, as a report of means has it)."""
+    sums = [F.coalesce(F.sum(f"{k}_{c}"), F.lit(0)).cast("long").alias(f"{k}_{c}") for k in ("pii", "profanity") for c in ("tp", "fp", "fn")]
+    means = [F.avg(c).alias(f"mean_{c}") for c in ("wer", "real_time_factor", "alignment_coverage", "redaction_coverage")]
+    out = rows.agg(*sums, *means)
+    for k in ("pii", "profanity"):
+        tp, fp, fn = (F.col(f"{k}_{c}") for c in ("tp", "fp", "fn"))
+        p, r = tp / F.greatest(F.lit(1), tp + fp), tp / F.greatest(F.lit(1), tp + fn)
+        out = out.withColumns({f"{k}_precision": p, f"{k}_recall": r, f"{k}_f1": 2 * p * r / F.greatest(F.lit(1e-9), p + r)})
+    return out
+
+
 def prototype_score(vector: Column, positives: list[list[float]], negatives: list[list[float]]) -> Column:
     """How much nearer a vector is, by cosine, to its best positive than to its best negative
     prototype, through a logistic of slope 10."""

@@ -6,6 +6,8 @@ work without it by rules alone and say so in ``method``.
 
 from __future__ import annotations
 
+import logging
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import replace
 
@@ -14,11 +16,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from sparkveil.functions.engine import Span
+from sparkveil.functions import patterns as P
+from sparkveil.functions.engine import Reader, Span, rx
 from sparkveil.session import ship
 
+log = logging.getLogger(__name__)
+
 #: (text, spans) to a score between 0 and 1 for each span, or None where the model has no view.
-Judge = Callable[[str, list[Span]], list[float | None]]
+Judge = Callable[[str, list[Span]], list]
+#: The score of a model that raised an error.
+FAILED = object()
 #: Texts to vectors.
 Embedder = Callable[[list[str]], list[list[float]]]
 
@@ -26,26 +33,30 @@ Embedder = Callable[[list[str]], list[list[float]]]
 def with_models(semantic: Judge | None = None, names: Judge | None = None) -> Callable[[str, list[Span]], list[Span]]:
     """A ``review`` for the span engine: a name model's support is added to candidates that asked for
     it, then a semantic score is averaged with the rules' confidence. A model that has no view, or
-    fails, leaves the rules' decision."""
+    fails, leaves the rules' decision; a failure is logged, and the spans say ``model_failed`` in their
+    evidence."""
 
     def scores(judge: Judge, text: str, spans: list[Span]) -> list[float | None]:
         try:
             return judge(text, spans) if spans else []
         except Exception:  # a model's failure must not stop the protection by rules
-            return [None] * len(spans)
+            log.exception("a model failed on a text of %d characters", len(text))
+            return [FAILED] * len(spans)
 
     def review(text: str, spans: list[Span]) -> list[Span]:
         out = list(spans)
         if names is not None:
             asked = [i for i, x in enumerate(out) if x.ner_review]
             for i, s in zip(asked, scores(names, text, [out[i] for i in asked])):
-                if s is not None and s >= 0.70:
+                if s is FAILED:
+                    out[i] = replace(out[i], evidence=out[i].evidence + "+model_failed")
+                elif s is not None and s >= 0.70:
                     out[i] = replace(out[i], confidence=round(min(0.995, out[i].confidence + 0.07 * s), 3), evidence=out[i].evidence + "+ner")
         if semantic is not None:
             asked = [i for i, x in enumerate(out) if x.ai_review]
             for i, s in zip(asked, scores(semantic, text, [out[i] for i in asked])):
-                if s is None:
-                    out[i] = replace(out[i], method="rules_fallback")
+                if s is None or s is FAILED:
+                    out[i] = replace(out[i], method="rules_fallback", evidence=out[i].evidence + ("+model_failed" if s is FAILED else ""))
                 else:
                     fused = min(0.995, max(0.0, 0.5 * out[i].confidence + 0.5 * s + 0.08))
                     out[i] = replace(out[i], confidence=round(fused, 3), method="hybrid_semantic_batched", evidence=out[i].evidence + "+semantic")
@@ -54,6 +65,76 @@ def with_models(semantic: Judge | None = None, names: Judge | None = None) -> Ca
     return review
 
 
+def model_type(label: str) -> str | None:
+    """The type that a name model's label stands for."""
+    name = label.upper().replace("-", "_")
+    return next((kind for kind, words in P.MODEL_LABELS if any(w in name for w in words)), None)
+
+
+def grouped_entities(pieces: list[tuple[int, int, str, float]]) -> list[tuple[str, int, int, float]]:
+    """(type, start, end, confidence) from a name model's best label of each token (start, end, label,
+    probability). A token goes on with the one before it if its label says so, is of the same type and
+    follows it directly; confidences are averaged pair by pair."""
+    out: list[list] = []
+    for start, end, label, p in pieces:
+        marked = label[:2] in ("B-", "I-")
+        kind = model_type(label[2:] if marked else label)
+        if end <= start or label.upper() == "O" or kind is None:
+            continue
+        if out and label.startswith("I-") and out[-1][0] == kind and start <= out[-1][2] + 1:
+            out[-1][2:] = [end, (out[-1][3] + p) / 2]
+        else:
+            out.append([kind, start, end, p])
+    return [tuple(x) for x in out]
+
+
+def name_support(candidates: DataFrame, proposals: DataFrame) -> DataFrame:
+    """``candidates`` (call_id, span_id, type, start, end) with ``support``: the highest confidence of a
+    proposal (call_id, type, start, end, confidence) that touches it and has its type, names and
+    addresses standing for each other; 0 without one."""
+    c, p = candidates.alias("c"), proposals.alias("p")
+    family = F.col("c.type").isin("NAME", "ADDRESS") & F.col("p.type").isin("NAME", "ADDRESS")
+    touch = (F.col("p.start") < F.col("c.end")) & (F.col("c.start") < F.col("p.end"))
+    hits = c.join(p, (F.col("c.call_id") == F.col("p.call_id")) & touch & ((F.col("c.type") == F.col("p.type")) | family))
+    best = hits.groupBy("c.call_id", "c.span_id").agg(F.round(F.max("p.confidence"), 4).alias("support"))
+    return candidates.join(best, ["call_id", "span_id"], "left").withColumn("support", F.coalesce("support", F.lit(0.0)))
+
+
+def judged_context(text: str, x: Span, radius: int = 72) -> str:
+    """What a semantic model sees of a span: its clause without the value, between the nearest changes
+    of role on both sides."""
+    low, high = Reader(text).clause(x.start, x.end, radius)
+    low = max([low, *(low + m.end() for m in rx(P.JUDGE_RESET).finditer(text[low : x.start]))])
+    if m := rx(P.JUDGE_RESET).search(text[x.end : high]):
+        high = x.end + m.start()
+    return f"{text[low : x.start]} <VALUE> {text[x.end : high]}".strip()
+
+
+def prototype_judge(embedder: Embedder, banks: dict[str, tuple[list[str], list[str]]]) -> Judge:
+    """A judge from an embedder and, by type, positive and negative example sentences with ``<VALUE>``:
+    how much nearer a span's context is to its best positive one, through a logistic of slope 10. Types
+    without examples get no view. The examples are embedded once."""
+    unit: dict[str, list[float]] = {}
+
+    def vectors(texts: list[str]) -> list[list[float]]:
+        made = [[float(v) for v in vec] for vec in embedder(texts)]
+        return [[v / max(1e-12, math.sqrt(sum(u * u for u in vec))) for v in vec] for vec in made]
+
+    def judge(text: str, spans: list[Span]) -> list[float | None]:
+        if not unit:
+            known = list(dict.fromkeys(t for bank in banks.values() for side in bank for t in side))
+            unit.update(zip(known, vectors(known)))
+        asked = [i for i, x in enumerate(spans) if x.type in banks]
+        out: list[float | None] = [None] * len(spans)
+        for i, v in zip(asked, vectors([judged_context(text, spans[i]) for i in asked]) if asked else ()):
+            near = lambda side: max((sum(a * b for a, b in zip(v, unit[t])) for t in side), default=0.0)  # noqa: B023, E731
+            positive, negative = banks[spans[i].type]
+            out[i] = round(1 / (1 + math.exp(-10 * (near(positive) - near(negative)))), 4)
+        return out
+
+    return judge
+
+
 def embed(df: DataFrame, text_col: str, embedder: Embedder, out: str = "vector") -> DataFrame:
     """``df`` with an L2-normalised vector of each text. Each distinct text is embedded once: texts
     are grouped first (combined in the map tasks) and joined back."""

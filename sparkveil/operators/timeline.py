@@ -90,13 +90,15 @@ def word_map(segments: DataFrame, words: DataFrame) -> DataFrame:
 
 def attach_tokens(spans: DataFrame, tokens: DataFrame) -> DataFrame:
     """``spans`` with the words that they touch: ``token_ids, time_start, time_end,
-    alignment_confidence, alignment_method, speakers``. A span without a word is ``unresolved``."""
+    alignment_confidence, alignment_method, speakers``. A span without a word is ``unresolved``. Spans
+    are told apart by call_id, span_id and, where they have it, ``origin``."""
+    keys = [c for c in ("call_id", "span_id", "origin") if c in spans.columns]
     s, t = spans.alias("s"), tokens.alias("t")
     touch = (F.col("s.call_id") == F.col("t.call_id")) & (F.col("t.char_start") < F.col("s.end")) & (F.col("s.start") < F.col("t.char_end"))
     named = F.when(F.col("t.speaker").isNotNull() & ~F.col("t.speaker").isin("", "UNKNOWN"), F.col("t.speaker"))
     hits = (
         s.join(t, touch)
-        .groupBy("s.call_id", "s.span_id")
+        .groupBy(*[f"s.{k}" for k in keys])
         .agg(
             F.array_sort(F.collect_list("t.token_id")).alias("token_ids"),
             F.min("t.time_start").alias("time_start"),
@@ -105,7 +107,7 @@ def attach_tokens(spans: DataFrame, tokens: DataFrame) -> DataFrame:
             F.array_sort(F.collect_set(named)).alias("speakers"),
         )
     )
-    out = spans.join(hits, ["call_id", "span_id"], "left")
+    out = spans.join(hits, keys, "left")
     return out.withColumns(
         {
             "alignment_method": F.when(F.col("token_ids").isNull(), "unresolved").otherwise("whisper_word_tokens"),
@@ -145,12 +147,44 @@ def audio_intervals(aligned: DataFrame) -> DataFrame:
     )
 
 
-def fallback_intervals(unresolved: DataFrame, offsets: DataFrame) -> DataFrame:
-    """Intervals for spans without words: their characters' share of each segment they touch, with a
-    wide pad, and for a span outside all segments a short guard in the nearest one, so that no
-    accepted span stays audible."""
+def late_words(unresolved: DataFrame, offsets: DataFrame, words: DataFrame) -> DataFrame:
+    """``call_id, span_id, seg_id, from, to, sure``: times of unresolved spans from the words of each
+    segment that they touch, placed in the segment's text anew. For words that came after the spans
+    were aligned."""
+    ship(unresolved.sparkSession)
+
+    @pandas_udf("array<struct<s:int,e:int>>")
+    def place(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        return pd.Series([[None if p is None else {"s": p[0], "e": p[1]} for p in place_words(t or "", list(w))] for t, w in zip(texts, lists)])
+
+    grouped = words.groupBy("call_id", "seg_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", "word", "start", "end", "confidence"))).alias("w"))
+    s, g = unresolved.alias("s"), offsets.join(grouped, ["call_id", "seg_id"]).alias("g")
+    rows = s.join(g, (F.col("s.call_id") == F.col("g.call_id")) & (F.col("s.start") < F.col("g.char_end")) & (F.col("s.end") > F.col("g.char_start")))
+    low, high = F.greatest(F.col("s.start") - F.col("g.char_start"), F.lit(0)), F.least(F.col("s.end"), F.col("g.char_end")) - F.col("g.char_start")
+    rows = rows.select("s.call_id", "s.span_id", "g.seg_id", low.alias("low"), high.alias("high"), F.col("g.start").alias("seg_start"), F.col("g.end").alias("seg_end"), F.arrays_zip("w", place("text", F.transform("w", lambda x: F.coalesce(x["word"], F.lit("")))).alias("p")).alias("x"))
+    hits = rows.select("*", F.explode("x").alias("y")).where("y.p is not null and y.p.s < high and low < y.p.e")
+    begin = F.coalesce("y.w.start", "seg_start", F.lit(0.0))
+    return hits.groupBy("call_id", "span_id", "seg_id").agg(F.min(begin).alias("from"), F.max(F.coalesce("y.w.end", "seg_end", begin)).alias("to"), F.avg(F.coalesce("y.w.confidence", F.lit(0.0))).alias("sure"))
+
+
+def segment_confidence(segments: DataFrame, words: DataFrame) -> DataFrame:
+    """``segments`` with ``confidence``: the mean of its words', else the exponential of
+    ``avg_logprob``, between 0 and 1; four decimals. ``segments`` may have no avg_logprob: then null."""
+    mean = words.groupBy("call_id", "seg_id").agg(F.avg(F.coalesce("confidence", F.lit(0.0))).alias("_mean"))
+    spoken = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.exp("avg_logprob"))) if "avg_logprob" in segments.columns else F.lit(None).cast("double")
+    return segments.drop("confidence").join(mean, ["call_id", "seg_id"], "left").withColumn("confidence", F.round(F.coalesce("_mean", spoken), 4)).drop("_mean")
+
+
+def fallback_intervals(unresolved: DataFrame, offsets: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """Intervals for spans without tokens: by the words of each segment they touch, if ``words`` has
+    any there, else by their characters' share of it, with a wide pad, and for a span outside all
+    segments a short guard in the nearest one, so that no accepted span stays audible."""
+    late = None if words is None else late_words(unresolved, offsets, words)
     s, g = unresolved.alias("s"), offsets.alias("g")
     inside = s.join(g, (F.col("s.call_id") == F.col("g.call_id")) & (F.col("s.start") < F.col("g.char_end")) & (F.col("s.end") > F.col("g.char_start")))
+    if late is not None:
+        by_ratio = late.select(*[F.col(c).alias(f"_{c}") for c in ("call_id", "span_id", "seg_id")])
+        inside = inside.join(by_ratio, (F.col("s.call_id") == F.col("_call_id")) & (F.col("s.span_id") == F.col("_span_id")) & (F.col("g.seg_id") == F.col("_seg_id")), "left_anti")
     length = F.greatest(F.col("g.char_end") - F.col("g.char_start"), F.lit(1))
     seconds = F.greatest(F.lit(0.0), F.col("g.end") - F.col("g.start"))
     at = lambda c: F.col("g.start") + seconds * c / length
@@ -159,6 +193,11 @@ def fallback_intervals(unresolved: DataFrame, offsets: DataFrame) -> DataFrame:
     pad = PAD + RATIO_PAD
     fields = lambda start, end, method: [F.col("s.call_id").alias("call_id"), F.col("s.span_id").alias("span_id"), start.alias("start"), end.alias("end"), F.array("s.type").alias("types"), F.round("s.confidence", 4).alias("confidence"), F.lit(method).alias("alignment_method"), F.lit(0.0).alias("alignment_confidence")]
     ratio = inside.select(*fields(F.greatest(F.lit(0.0), low - pad), F.greatest(low, high + pad), "character_ratio_fallback"))
+    if late is not None:
+        own = late.join(unresolved.select("call_id", "span_id", "type", "confidence"), ["call_id", "span_id"])
+        pad = PAD + LATE_PAD
+        timed = [F.greatest(F.lit(0.0), F.col("from") - pad).alias("start"), F.greatest("from", F.col("to") + pad).alias("end")]
+        ratio = ratio.unionByName(own.select("call_id", "span_id", *timed, F.array("type").alias("types"), F.round("confidence", 4).alias("confidence"), F.lit("late_word_alignment").alias("alignment_method"), F.round("sure", 4).alias("alignment_confidence")))
     near = nearest_segment(unresolved.join(ratio.select("call_id", "span_id").distinct(), ["call_id", "span_id"], "left_anti"), offsets).select("call_id", "span_id", "seg_id")
     lost = unresolved.join(near, ["call_id", "span_id"]).alias("s").join(offsets.alias("g"), (F.col("s.call_id") == F.col("g.call_id")) & (F.col("s.seg_id") == F.col("g.seg_id"))).where(seconds > 0)
     centre = at(F.least(F.greatest(F.col("s.start") - F.col("g.char_start"), F.lit(0)), F.col("g.char_end") - F.col("g.char_start")))
@@ -226,9 +265,9 @@ def timed_corrections(aligned: DataFrame, texts: DataFrame) -> DataFrame:
 
 def rediscovered(spans: DataFrame, texts: DataFrame) -> DataFrame:
     """Proposals for values that follow an owned one without a context of their own, in the columns of
-    ``spans`` (ids from 1,000,000 on): only for spans without a later one of their type within 72
-    characters. Add them to the spans, align all, let ``timed_corrections`` decide, and keep those with
-    ``corrected_by``."""
+    ``spans``, with the id of the span that they follow: only for spans without a later one of their
+    type within 72 characters. Add them to the spans, align all, let ``timed_corrections`` decide, and
+    keep those with ``corrected_by``."""
     ship(spans.sparkSession)
 
     @pandas_udf("struct<start:int,end:int,value:string,confidence:double>")
@@ -242,17 +281,20 @@ def rediscovered(spans: DataFrame, texts: DataFrame) -> DataFrame:
     order = Window.partitionBy("call_id", "type").orderBy("start", "end", "span_id")
     last = spans.withColumn("_next", F.lead("start").over(order)).where("(_next is null or _next > end + 72) and ownership >= 3").drop("_next")
     rows = last.join(texts, "call_id").withColumn("_p", propose("text", "type", "start", "end", "value", F.col("ownership").cast("int"))).where("_p.start is not null")
-    made = {"span_id": F.col("span_id") + 1_000_000, "start": F.col("_p.start"), "end": F.col("_p.end"), "value": F.col("_p.value"), "confidence": F.col("_p.confidence")}
+    made = {"start": F.col("_p.start"), "end": F.col("_p.end"), "value": F.col("_p.value"), "confidence": F.col("_p.confidence")}
     return rows.select(*[made.get(c, F.col(c)).alias(c) for c in spans.columns])
 
 
+#: Where a span comes from: the detector, a value said again, or an edit of another's last digits.
+FOUND, AGAIN, EDIT = "found", "again", "edit"
+
+
 def correct_calls(spans: DataFrame, tokens: DataFrame, texts: DataFrame) -> DataFrame:
-    """Spans after all timed corrections: accepted values first, then proposals that timing confirms
-    (``corrected_by`` ends with ``_rediscovered``)."""
-    proposed = rediscovered(spans, texts)
-    both = attach_tokens(spans.unionByName(proposed), tokens)
-    out = timed_corrections(both, texts)
-    new = F.col("span_id") >= 1_000_000
+    """Spans after all timed corrections, with their ``origin``: accepted values first, then proposals
+    that timing confirms (``corrected_by`` ends with ``_rediscovered``)."""
+    both = spans.withColumn("origin", F.lit(FOUND)).unionByName(rediscovered(spans, texts).withColumn("origin", F.lit(AGAIN)))
+    out = timed_corrections(attach_tokens(both, tokens), texts)
+    new = F.col("origin") == AGAIN
     return out.where(~new | F.col("corrected_by").isNotNull()).withColumn("corrected_by", F.when(new, F.concat("corrected_by", F.lit("_rediscovered"))).otherwise(F.col("corrected_by")))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -23,9 +24,10 @@ class Options:
     raw_facts: bool = False
     windows: int = recovery.MAX_WINDOWS
     conservative_guard: bool = True
+    review: Callable | None = None
 
     def protect(self) -> dict:
-        return {"profile": self.profile, "mode": self.mode, "types": self.types, "swears": self.swears, "ids": self.ids}
+        return {"profile": self.profile, "mode": self.mode, "types": self.types, "swears": self.swears, "ids": self.ids, "review": self.review}
 
 
 def analyze_texts(texts: DataFrame, call_date: str = "call_date", options: Options = Options()) -> DataFrame:
@@ -47,37 +49,43 @@ def analyze_texts(texts: DataFrame, call_date: str = "call_date", options: Optio
     )
 
 
-def analyze_calls(segments: DataFrame, words: DataFrame, turns: DataFrame | None = None, options: Options = Options()) -> dict[str, DataFrame]:
+def analyze_calls(segments: DataFrame, words: DataFrame, turns: DataFrame | None = None, options: Options = Options(), heard: DataFrame | None = None) -> dict[str, DataFrame]:
     """The tables of a call analysis: ``segments`` with safe text, ``spans`` after corrections,
-    ``windows`` to decode again, ``intervals`` of audio to hide.
+    ``windows`` to decode again, ``intervals`` of audio to hide, ``recovery`` (an audit row for each
+    window and each later correction) and its ``telemetry``. ``heard`` is a provider's second decoding
+    of the windows of a run before, see ``recovery.recover``.
 
     The decisions are made once on a call's whole text, written to the shared folder, and reused by
     every table; all joins are by call.
     """
     segments = segments if turns is None else timeline.assign_speakers(segments, turns)
-    offsets, texts = timeline.segment_offsets(segments), timeline.call_text(segments)
+    offsets = timeline.segment_offsets(segments)
     tokens = materialize(timeline.word_map(segments, words), "tokens")
-    decided = materialize(privacy.protect_documents(texts, **options.protect()), "decided")
+    decided = materialize(privacy.protect_documents(timeline.call_text(segments), **options.protect()), "decided")
+    texts = decided.select("call_id", "text")
     found = decided.select("call_id", F.posexplode("protected.pii").alias("span_id", "s"))
     spans = found.select("call_id", "span_id", "s.type", "s.start", "s.end", "s.value", "s.confidence", "s.ownership")
-    kept = materialize(timeline.correct_calls(spans, tokens, texts), "kept-spans")
-    edits = timeline.suffix_corrections(spans, tokens, texts)
-    shown = edits.where("expose_old").select("call_id", "span_id")
-    kept_now = kept.join(shown, ["call_id", "span_id"], "left_anti")
-    digits = timeline.attach_tokens(edits.join(spans.select("call_id", "span_id", "type"), ["call_id", "span_id"]).withColumns({"span_id": F.col("span_id") + 2_000_000, "confidence": F.lit(0.995), "value": F.lit(None).cast("string"), "ownership": F.lit(4)}).select(*spans.columns), tokens)
-    final = kept_now.drop("corrected_by").unionByName(digits)
-    windows = recovery.plan_recovery(texts, final.select("call_id", "type", "start", "end"), tokens, options.windows)
+    kept = timeline.correct_calls(spans, tokens, texts)
+    edits = materialize(timeline.suffix_corrections(spans, tokens, texts), "suffix-edits")
+    shown = edits.where("expose_old").select("call_id", "span_id", F.lit(timeline.FOUND).alias("origin"))
+    digits = edits.join(spans.select("call_id", "span_id", "type"), ["call_id", "span_id"]).withColumns({"confidence": F.lit(0.995), "value": F.lit(None).cast("string"), "ownership": F.lit(4), "origin": F.lit(timeline.EDIT)})
+    digits = timeline.attach_tokens(digits.select(*spans.columns, "origin"), tokens)
+    final = materialize(kept.join(shown, ["call_id", "span_id", "origin"], "left_anti").drop("corrected_by").unionByName(digits).drop("value"), "final-spans")
+    accepted = final.select("call_id", "type", "start", "end")
+    windows = materialize(recovery.plan_recovery(texts, accepted, tokens, options.windows, offsets), "windows")
+    guarded, audit = recovery.recover(windows, heard, options.conservative_guard, (texts, accepted, tokens, offsets))
+    audit = materialize(audit, "recovery-audit")
     name = F.concat(F.lit("["), F.col("type"), F.lit(" REDACTED]"))
     own = final.select("call_id", "start", "end", name.alias("new"), F.lit(rendering.PII).alias("class"))
     other = rendering.replacements(decided).where(F.col("class") != rendering.PII)
-    parts = own.unionByName(other)
-    hidden = timeline.audio_intervals(final.drop("value")).unionByName(timeline.fallback_intervals(final.where("alignment_method = 'unresolved'"), offsets))
-    if options.conservative_guard:
-        parts = parts.unionByName(rendering.guard_markers(windows, texts))
-        hidden = hidden.unionByName(recovery.guard_intervals(windows))
+    markers = rendering.guard_markers(audit.where("status = 'guarded'"), texts)
+    unresolved = final.where("alignment_method = 'unresolved'").withColumn("span_id", F.concat_ws(":", "origin", "span_id"))
+    hidden = timeline.audio_intervals(final).unionByName(timeline.fallback_intervals(unresolved, offsets)).unionByName(guarded)
     return {
-        "segments": rendering.safe_segments(offsets, parts),
-        "spans": final.drop("value"),
+        "segments": rendering.safe_segments(offsets, own.unionByName(other).unionByName(markers)),
+        "spans": final,
         "windows": windows,
         "intervals": timeline.merge_intervals(hidden),
+        "recovery": audit,
+        "telemetry": recovery.telemetry(audit),
     }

@@ -6,7 +6,9 @@ lacks, and their rows carry the reason in ``error`` unless a ``decode`` function
 
 from __future__ import annotations
 
+import hashlib
 import io
+import time
 import wave
 from collections.abc import Callable, Iterator
 from math import gcd
@@ -146,3 +148,43 @@ def protect_audio(files: DataFrame, method: str = "beep") -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "protected", "duration_s", "error"])
 
     return files.mapInPandas(run, "path string, protected binary, duration_s double, error string")
+
+
+def write_protected(protected: DataFrame, folder: str) -> DataFrame:
+    """The protected WAV of each row of ``protect_audio`` as a file of its own under ``folder``, any
+    place that pyarrow can write to: ``path, protected_path, error``. A name is the source's, with a
+    digest of its path, so a task that runs twice writes the same file."""
+    ship(protected.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            rows = []
+            for path, data, error in batch[["path", "protected", "error"]].itertuples(index=False):
+                if data is None:
+                    rows.append((path, None, error))
+                    continue
+                stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                name = f"{stem}-{hashlib.sha256(path.encode()).hexdigest()[:16]}.protected.wav"
+                with store.open_output_stream(f"{root}/{name}") as f:
+                    f.write(bytes(data))
+                rows.append((path, f"{folder.rstrip('/')}/{name}", None))
+            yield pd.DataFrame(rows, columns=["path", "protected_path", "error"])
+
+    return protected.select("path", "protected", "error").mapInPandas(run, "path string, protected_path string, error string")
+
+
+def profile(data: bytes, suffix: str = "wav") -> dict[str, float]:
+    """Milliseconds that one file takes to load, to analyse and to screen, and its seconds of sound."""
+    from sparkveil.operators.signal import acoustics, tamper
+
+    took, at = {}, time.perf_counter()
+    x = load(data, suffix)
+    for name, step in (("load_ms", None), ("acoustic_ms", acoustics), ("tamper_ms", tamper)):
+        if step is not None:
+            step(x, RATE)
+        took[name], at = round((time.perf_counter() - at) * 1000, 3), time.perf_counter()
+    return took | {"duration_s": len(x) / RATE}

@@ -37,3 +37,30 @@ def test_command_line(spark, tmp_path):
     assert spark.read.parquet(dst).first().text == "My OTP is [OTP REDACTED]."
     main(["analyze", src, dst, "--date", "day"])
     assert spark.read.parquet(dst).select(F.size("pii")).first()[0] == 1
+
+
+def test_recovery_is_part_of_the_analysis(spark):
+    seg, words = call(spark, "My OTP is blah. I made a mistake. 124981.")
+    out = analyze_calls(seg, words)
+    assert out["segments"].first().safe_text == "My OTP is [OTP AUDIO PROTECTED] I made a mistake. [OTP AUDIO PROTECTED]."
+    assert sorted((r.source, r.status) for r in out["recovery"].collect()) == [("correction_continuation", "guarded"), ("owned_field", "guarded")]
+    total = out["telemetry"].where("type is null").first()
+    assert (total.planned, total.guarded, total.corrections) == (1, 2, 1) and out["intervals"].count() == 2
+    heard = spark.createDataFrame([(1, 1, "it is 638291", [("it", 0.7, 0.8, 0.9), ("is", 0.8, 0.9, 0.9), ("638291", 0.9, 1.2, 0.8)])], "call_id int, rank int, text string, words array<struct<word:string,start:double,end:double,confidence:double>>")
+    sure = analyze_calls(seg, words, heard=heard)
+    assert [r.status for r in sure["recovery"].collect()] == ["confirmed"] and "AUDIO PROTECTED" not in sure["segments"].first().safe_text
+
+
+def test_calls_and_fingerprint_commands(spark, tmp_path, capsys):
+    seg, words = call(spark, "My phone number is 9876543210.")
+    seg.write.parquet(str(tmp_path / "segs"))
+    words.write.parquet(str(tmp_path / "words"))
+    assert main(["calls", str(tmp_path / "segs"), str(tmp_path / "words"), str(tmp_path / "out"), "--max-windows", "2"]) == 0
+    assert spark.read.parquet(str(tmp_path / "out" / "segments")).first().safe_text == "My phone number is [PHONE REDACTED]."
+    seg.select("call_id", "text").write.parquet(str(tmp_path / "texts"))
+    assert main(["protect", str(tmp_path / "texts"), str(tmp_path / "p"), "--types", "OTP", "--include-raw"]) == 0
+    assert spark.read.parquet(str(tmp_path / "p")).first().raw_text == "My phone number is 9876543210."
+    file = tmp_path / "versions.json"
+    assert main(["fingerprint", str(file), "--strict"]) == 0
+    assert main(["fingerprint", str(file), "--strict", "--model", "asr=2"]) == 3
+    assert main(["fingerprint", str(file), "--strict", "--model", "asr=2"]) == 0

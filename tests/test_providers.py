@@ -12,6 +12,8 @@ def test_fusion_and_fallback():
     sure = E.detect(base, review=providers.with_models(lambda t, spans: [0.99] * len(spans)))
     assert [(s.type, s.method) for s in sure] == [("PAN", "hybrid_semantic_batched")] and abs(sure[0].confidence - 0.905) < 1e-9
     assert E.detect(base, review=providers.with_models(lambda t, spans: 1 / 0)) == []
+    (failed,) = E.detect("Send it to a@b.in", review=providers.with_models(lambda t, spans: 1 / 0))
+    assert failed.method == "rules_fallback" and failed.evidence.endswith("+model_failed")
     named = E.detect("My name is Asha Rao.", review=providers.with_models(names=lambda t, spans: [0.9] * len(spans)))
     assert named[0].evidence.endswith("+ner") and named[0].confidence == 0.995
 
@@ -32,3 +34,23 @@ def test_language_and_intent(spark):
     model = F.struct(F.lit("payment commitment").alias("label"), F.lit(0.8).alias("confidence"))
     out = df.select(understanding.arbitrate_intent(F.col("rule"), model).alias("i")).first().i
     assert out.method == "semantic+rule_agreement" and 0.8 < out.confidence <= 0.98
+
+
+def test_name_model_tokens_are_grouped():
+    tokens = [(0, 4, "B-GIVENNAME", 0.9), (5, 8, "I-SURNAME", 0.7), (9, 11, "O", 0.9), (12, 14, "I-CITY", 0.8), (20, 24, "I-CITY", 0.6), (25, 29, "B-CITY", 0.5), (30, 30, "B-CITY", 0.9), (31, 35, "PHONENUMBER", 0.4), (36, 40, "COLOUR", 0.9)]
+    assert [(k, s, e, round(c, 3)) for k, s, e, c in providers.grouped_entities(tokens)] == [("NAME", 0, 8, 0.8), ("ADDRESS", 12, 14, 0.8), ("ADDRESS", 20, 24, 0.6), ("ADDRESS", 25, 29, 0.5), ("PHONE", 31, 35, 0.4)]
+
+
+def test_prototype_judge():
+    text = "The order is 123456 while my code is 123456, but the meeting is late."
+    seen = []
+
+    def embedder(texts):
+        seen.extend(texts)
+        return [[1.0, 0.0] if "my" in t else [0.0, 2.0] for t in texts]
+
+    judge = providers.prototype_judge(embedder, {"OTP": (["my <VALUE>"], ["order <VALUE>"])})
+    spans = [E.Span("OTP", 13, 19, "123456", 0.7, ""), E.Span("OTP", 37, 43, "123456", 0.7, ""), E.Span("PAN", 0, 3, "The", 0.7, "")]
+    low, high, none = judge(text, spans)
+    assert low < 0.001 and high > 0.999 and none is None
+    assert seen[2:] == ["The order is  <VALUE>", "my code is  <VALUE> ,"]

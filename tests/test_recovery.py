@@ -57,5 +57,40 @@ def test_recover(spark):
     intervals, audit = recovery.recover(windows, heard)
     assert {(r.call_id, r["rank"]): r.status for r in audit.collect()} == {(1, 1): "confirmed", (1, 2): "guarded", (2, 1): "guarded"}
     got = {tuple(r.types): (round(r.start, 2), round(r.end, 2)) for r in intervals.collect()}
-    assert got == {("CVV",): (1.41, 2.19), ("OTP",): (5.0, 6.8), ("PAN",): (0.0, 2.0)}
+    assert got == {("CVV",): (1.4, 2.22), ("OTP",): (5.0, 6.8), ("PAN",): (0.0, 2.0)}
     assert recovery.recover(windows, heard, guard=False)[0].count() == 1
+
+
+def test_a_window_without_words_is_timed_by_its_segment(spark):
+    seg, words = call(spark, "My registered name is 2210.")
+    texts, tokens = timeline.call_text(seg), timeline.word_map(seg, words.limit(0))
+    none = spark.createDataFrame([], "call_id int, type string, start int, end int")
+    assert recovery.plan_recovery(texts, none, tokens).count() == 0
+    (w,) = recovery.plan_recovery(texts, none, tokens, offsets=timeline.segment_offsets(seg)).collect()
+    assert (w.type, w.time_start, w.alignment_confidence) == ("NAME", 0.0, 0.0) and w.time_end > 0
+
+
+def corrected(text, guards, accepted=()):
+    return [(i, r, text[s:e]) for i, r, s, e, _ in recovery.later_values(text, guards, list(accepted))]
+
+
+def test_values_after_a_guard():
+    text = "My OTP is blah. I made a mistake. 124981."
+    assert corrected(text, [("OTP", 15)]) == [(0, 1, "124981")]
+    assert corrected(text, [("OTP", 15)], [("OTP", 34, 40)]) == []
+    assert corrected(text.replace("I made a mistake", "The order is late"), [("OTP", 15)]) == []
+    assert corrected(text.replace("mistake.", "mistake about the reference."), [("OTP", 15)]) == []
+    assert corrected("My OTP is blah. Sorry, my email is a@b.in. 124981.", [("OTP", 15)]) == []
+    assert corrected("My phone is noise. Last two digits are four two.", [("PHONE", 18)]) == [(0, 0, "four two")]
+    assert corrected("My phone is noise. Last two digits are 421.", [("PHONE", 18)]) == []
+    assert corrected("My name is 22. Last digit is 4.", [("NAME", 14)]) == []
+
+
+def test_corrections_need_a_sure_time(spark):
+    text = "My OTP is blah. I made a mistake. 124981."
+    for confidence, found in ((0.95, 1), (0.40, 0)):
+        seg, words = call(spark, text, confidence=confidence)
+        guards = spark.createDataFrame([(1, 1, "OTP", 15)], "call_id int, rank int, type string, char_end int")
+        none = spark.createDataFrame([], "call_id int, type string, start int, end int")
+        out = recovery.corrections_after_guards(guards, timeline.call_text(seg), none, timeline.word_map(seg, words))
+        assert out.count() == found

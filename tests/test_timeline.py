@@ -72,3 +72,40 @@ def test_word_error_rate():
 def test_regulatory_levels(spark):
     df = spark.createDataFrame([("You are useless.",), ("you will be arrested",), (None,)], "t string")
     assert [r["l"] for r in df.select(understanding.regulatory(F.col("t"))["risk_level"].alias("l")).collect()] == ["medium", "high", "low"]
+
+
+def test_large_span_ids_are_ids_like_any_other(spark):
+    text = "My phone number is 9876543210 please."
+    seg, words = call(spark, text)
+    spans = spans_of(spark, text, ["9876543210"]).withColumn("span_id", F.lit(1_000_000))
+    (r,) = timeline.correct_calls(spans, timeline.word_map(seg, words), timeline.call_text(seg)).collect()
+    assert (r.span_id, r.origin, r.value) == (1_000_000, timeline.FOUND, "9876543210")
+
+
+def test_late_words(spark):
+    seg, words = call(spark, "my code is 123456 thanks")
+    span = spark.createDataFrame([(1, 0, "OTP", 11, 17, "123456", 0.9, 4)], "call_id int, span_id int, type string, start int, end int, value string, confidence double, ownership int")
+    offsets = timeline.segment_offsets(seg)
+    (late,) = timeline.fallback_intervals(span, offsets, words).collect()
+    (ratio,) = timeline.fallback_intervals(span, offsets, words.limit(0)).collect()
+    assert late.alignment_method == "late_word_alignment" and late.start == pytest.approx(3 * 0.27 - 0.13) and late.alignment_confidence == 0.95
+    assert ratio.alignment_method == "character_ratio_fallback"
+
+
+def test_nearest_rank(spark):
+    values = [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v int")
+    out = {r.share: r.value for r in evaluation.nearest_rank(df, "v", [0.0, 0.25, 0.5, 0.95, 1.0]).collect()}
+    assert out == {s: sorted(values)[round((len(values) - 1) * s)] for s in out} and len(out) == 5
+    assert evaluation.nearest_rank(df.limit(0), "v", [0.5]).count() == 0
+
+
+def test_case_summary(spark):
+    kind = "array<struct<type:string,value:string>>"
+    rows = [(1, [("OTP", "12 34")], [("OTP", "1234")], "[OTP REDACTED]"), (2, [], [("PAN", "X")], ""), (3, [("OTP", "9"), ("OTP", "9")], [("OTP", "9")], "still 9"), (4, [], [], "")]
+    cases = evaluation.case_rows(spark.createDataFrame(rows, f"id int, expected {kind}, found {kind}, safe_text string"))
+    assert [(r.tp, r.fp, r.fn, r.leaked, r.passed) for r in cases.orderBy("id").collect()] == [(1, 0, 0, False, True), (0, 1, 0, False, False), (1, 0, 1, True, False), (0, 0, 0, False, True)]
+    s = evaluation.case_summary(cases).first()
+    assert (s.tp, s.fp, s.fn, s.negative_cases, s.negative_case_false_positive_rate, s.mask_failure_cases) == (2, 1, 1, 2, 0.5, 1)
+    empty = evaluation.case_summary(cases.limit(0)).first()
+    assert (empty.tp, empty.precision, empty.recall, empty.f1) == (0, 1.0, 1.0, 1.0)
