@@ -2,35 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from sparkveil.functions import patterns as P
-from sparkveil.functions.scalars import due_date, luhn_ok, normal_value, verhoeff_ok
+from sparkveil.functions.scalars import due_date, luhn_ok, normal_value
 from sparkveil.functions.spans import by_position, find, greedy, render
 from sparkveil.operators import evaluation, privacy, recovery, timeline, understanding
-from sparkveil.plans import analyze
+from sparkveil.plans import analyze, calls, sentences  # noqa: F401, the last two register queries
 from sparkveil.plans import transcripts as T
+from sparkveil.plans.register import ORACLE_SQL, QUERIES, query  # noqa: F401
 from sparkveil.session import ship, spread, table
 from sparkveil.sources import audio
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 #: The e-mail shape without look-around, which the SQL engine lacks; on these texts they agree.
 MAIL_SQL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
@@ -103,7 +88,6 @@ def threshold_sweep(spark, sf_dir):
 @query(f"""WITH c AS (SELECT o_orderkey AS call_id, o_orderkey % 5 AS k, {T.COLLECTION_SQL} AS text FROM orders)
 SELECT call_id, 'EMI_AMOUNT' AS type, cast(1000 + call_id % 5000 AS VARCHAR) AS value FROM c WHERE k = 0
 UNION ALL SELECT call_id, 'PAYMENT_STATUS', 'overdue' FROM c WHERE k = 0
-UNION ALL SELECT call_id, 'INTEREST_RATE', concat(5 + call_id % 20, '%') FROM c WHERE false
 UNION ALL SELECT call_id, 'MONEY', cast(500 + call_id % 700 AS VARCHAR) FROM c WHERE k = 1
 UNION ALL SELECT call_id, 'PAYMENT_DATE', 'tomorrow' FROM c WHERE k = 1
 UNION ALL SELECT call_id, 'PAYMENT_METHOD', 'UPI' FROM c WHERE k = 1
@@ -159,12 +143,6 @@ def normal_values(spark, sf_dir):
     return rows.select("id", "value", normal_value(F.lit("AADHAAR"), F.col("spaced")).alias("norm"))
 
 
-@query()
-def verhoeff_checks(spark, sf_dir):
-    number = F.expr("cast(200000000000 + c_custkey * 7919 as string)")
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), number.alias("value"), verhoeff_ok(number).alias("valid"))
-
-
 #: Spans made from line items: places and lengths that overlap, with a confidence to rank by.
 _SPAN = "struct(cast(l_linenumber * 7 % 23 as int) as start, cast(l_linenumber * 7 % 23 + 3 + l_quantity % 9 as int) as end, l_linenumber as line, l_quantity as confidence)"
 
@@ -286,14 +264,6 @@ def debug_digests(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.char_length("text").cast("long").alias("n"), F.sha2(F.encode("text", "utf-8"), 256).alias("digest"))
 
 
-@query()
-def word_errors(spark, sf_dir):
-    ship(spark)
-    bench = table(spark, sf_dir, "benchmark")
-    rows = bench.select("item_id", "text", F.array_join(F.slice(F.split("text", " "), F.lit(2), F.greatest(F.size(F.split("text", " ")) - 1, F.lit(1))), " ").alias("heard"))
-    return rows.select("item_id", F.round(evaluation.word_errors(F.col("text"), F.col("heard")), 4).alias("wer"))
-
-
 @query()
 def protected_documents(spark, sf_dir):
     """All documents through the span engine: what is hidden, by type."""
@@ -320,7 +290,7 @@ _TWICE = f"concat('My phone number is ', {T.PHONE}, ' ', {T.OTHER}, '.')"
 def _timed_calls(spark: SparkSession, sf_dir: str, text: str) -> tuple[DataFrame, DataFrame]:
     """One segment for each customer; the fifth word ends a pause that depends on the key modulo 3,
     and every third call is heard badly."""
-    rows = spread(table(spark, sf_dir, "customer").where("c_custkey > 0").select("c_custkey")).select(F.col("c_custkey").alias("call_id"), F.expr(text).alias("text"))
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey")).select(F.col("c_custkey").alias("call_id"), F.expr(text).alias("text"))
     segs = rows.select("call_id", F.lit(0).alias("seg_id"), F.lit(0.0).alias("start"), F.lit(60.0).alias("end"), "text", F.lit("A").alias("speaker"))
     words = segs.select("call_id", "seg_id", F.posexplode(F.split("text", " ")).alias("word_idx", "word"))
     pause = F.when(F.col("word_idx") >= 5, F.when(F.col("call_id") % 3 == 1, 0.10).otherwise(0.65)).otherwise(0.05)
@@ -328,8 +298,8 @@ def _timed_calls(spark: SparkSession, sf_dir: str, text: str) -> tuple[DataFrame
     return segs, words.select("call_id", "seg_id", "word_idx", "word", begin.alias("start"), (begin + 0.22).alias("end"), F.when(F.col("call_id") % 3 == 2, 0.40).otherwise(0.95).alias("confidence"))
 
 
-@query(f"""WITH c AS (SELECT c_custkey AS call_id, {T.PHONE} AS a, {T.OTHER} AS b FROM customer WHERE c_custkey > 0)
-SELECT call_id, b AS value, CASE WHEN call_id % 3 = 0 THEN 'silent_restart' END AS corrected_by FROM c UNION ALL SELECT call_id, a, NULL FROM c WHERE call_id % 3 != 0""")
+@query(f"""WITH c AS (SELECT c_custkey AS call_id, {T.PHONE} AS a, {T.OTHER} AS b FROM customer)
+SELECT call_id, b AS value, CASE WHEN call_id % 3 = 0 AND a != b THEN 'silent_restart' END AS corrected_by FROM c UNION ALL SELECT call_id, a, NULL FROM c WHERE call_id % 3 != 0 OR a = b""")
 def correction_timed(spark, sf_dir):
     """A number said twice: a long pause on a clear line corrects it, a short one or a bad line doesn't."""
     segs, words = _timed_calls(spark, sf_dir, _TWICE)
@@ -344,7 +314,7 @@ _LOST = f"""CASE c_custkey % 4 WHEN 0 THEN 'The CVV is located on the back of th
 
 
 @query("""SELECT c_custkey AS call_id, CASE c_custkey % 4 WHEN 0 THEN 'CVV' ELSE 'NAME' END AS type, CASE c_custkey % 4 WHEN 0 THEN 'followup_expectation' ELSE 'owned_field' END AS source
-FROM customer WHERE c_custkey > 0 AND c_custkey % 4 < 2""")
+FROM customer WHERE c_custkey % 4 < 2""")
 def recovery_windows(spark, sf_dir):
     """Windows to decode again where a value should be and isn't."""
     segs, words = _timed_calls(spark, sf_dir, _LOST)
@@ -353,11 +323,12 @@ def recovery_windows(spark, sf_dir):
     return recovery.plan_recovery(texts, found, timeline.word_map(segs, words)).select("call_id", "type", "source")
 
 
-@query("""WITH c AS (SELECT c_custkey AS call_id, c_custkey % 4 AS k FROM customer WHERE c_custkey > 0 AND c_custkey % 4 < 2)
+@query("""WITH c AS (SELECT c_custkey AS call_id, c_custkey % 4 AS k FROM customer WHERE c_custkey % 4 < 2)
 SELECT CASE k WHEN 0 THEN 'CVV' ELSE 'NAME' END AS type, count(*)::BIGINT AS planned, 0::BIGINT AS confirmed, count(*)::BIGINT AS guarded FROM c GROUP BY k
 UNION ALL SELECT NULL, count(*), 0, count(*) FROM c""")
 def recovery_telemetry(spark, sf_dir):
-    return recovery.telemetry(recovery_windows(spark, sf_dir).withColumn("status", F.lit("guarded")))
+    """Nothing was decoded again: every window is guarded. ``recovery_report`` has confirmed ones."""
+    return recovery.telemetry(recovery_windows(spark, sf_dir).withColumn("status", F.lit("guarded"))).select("type", "planned", "confirmed", "guarded")
 
 
 @query("""SELECT conv_id AS call_id, count(*)::BIGINT AS segments, sum(length(trim(regexp_replace(text, '[\\x20\\x09-\\x0D]+', ' ', 'g'))))::BIGINT + count(*)::BIGINT - 1 AS chars FROM conversations GROUP BY conv_id""")
@@ -395,7 +366,7 @@ def call_analysis(spark, sf_dir):
     return rows.select("call_id", F.col("intent.label").alias("intent"), F.col("regulatory.risk_level").alias("risk_level"), size("facts"), size("obligations"), size("pii"))
 
 
-@query(f"""SELECT c_custkey AS call_id, concat('My phone number is ', CASE WHEN c_custkey % 3 = 0 THEN {T.PHONE} ELSE '[PHONE REDACTED]' END, ' [PHONE REDACTED].') AS safe_text FROM customer WHERE c_custkey > 0""")
+@query(f"""SELECT c_custkey AS call_id, concat('My phone number is ', CASE WHEN c_custkey % 3 = 0 AND {T.PHONE} != {T.OTHER} THEN {T.PHONE} ELSE '[PHONE REDACTED]' END, ' [PHONE REDACTED].') AS safe_text FROM customer""")
 def corrected_transcripts(spark, sf_dir):
     """Safe segments of timed calls: a number corrected in time is shown, any other hidden."""
     segs, words = _timed_calls(spark, sf_dir, _TWICE)
