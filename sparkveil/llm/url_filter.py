@@ -2,8 +2,8 @@
 
 A list entry is (host, path, verdict). It fits its host and all subdomains if the URL's path starts
 with the entry's; of several that fit the longest wins, then the one with the longer host. A URL's
-possible entries are its host's suffixes joined with its path's prefixes of the lengths that the
-list has. Each is looked up in the filter, whose 64-bit blocks hold ``HASHES`` bits of one key each,
+possible entries are its host's suffixes of as many labels, joined with its path's prefixes of the
+lengths, that the list has. Each is looked up in the filter, whose 64-bit blocks hold ``HASHES`` bits of one key each,
 so a lookup reads one block. What passes goes to an exact join with the list, which removes the
 filter's false positives.
 
@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkveil.session import materialize
+
 HASHES = 4
 #: 2^15 blocks of 64 bits: about 200,000 entries at 10 bits each, and a broadcast under 1 MB.
 BLOCKS = 1 << 15
@@ -34,6 +36,11 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(rest, F.lit("")), r"^[^/?#]*([^?#]*)", 1)
 
 
+def _labels(host: Column) -> Column:
+    """How many labels a host has."""
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
 def _block(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(1), key), F.lit(blocks))
 
@@ -62,30 +69,35 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
 
     Defined cases: a null URL and one without ``://`` have an empty host and path, fit no rule and
     get ``default``; rules with a null or empty host never fit; of rules with the same host and path
-    the smallest verdict counts; repeated rows are returned as often as they came; an empty table
-    gives an empty result; other columns are ignored. A verdict depends on host and path alone, so
-    each distinct pair is looked up once and a host with a third of all rows costs no more.
+    the smallest verdict counts; of a host with any number of labels, and a path of any length, only
+    the parts that a rule may have are looked at; repeated rows are returned as often as they came; an
+    empty table gives an empty result; other columns are ignored. A verdict depends on host and path
+    alone, so each distinct pair is looked up once. The verdicts are written before the rows meet
+    them, which leaves a plain join, whose hot partitions Spark can split; rows without a host go
+    through it by keys of their own.
     """
+    host, path = F.col("host"), F.coalesce("path", F.lit(""))
     listed = (
         rules.where("host is not null and host != ''")
-        .select(F.concat("host", F.coalesce("path", F.lit(""))).alias("rule"), F.length("host").alias("host_len"), F.length(F.coalesce("path", F.lit(""))).alias("path_len"), "verdict")
-        .groupBy("rule", "host_len", "path_len")
+        .select(F.concat(host, path).alias("rule"), F.length(host).alias("host_len"), F.length(path).alias("path_len"), _labels(host).alias("labels"), "verdict")
+        .groupBy("rule", "host_len", "path_len", "labels")
         .agg(F.min("verdict").alias("verdict"))
     )
-    # The different lengths of the list's paths: no more numbers than its longest path has characters.
-    lengths = sorted(r[0] for r in listed.select("path_len").distinct().collect())
+    # No more numbers than the list's longest path has characters, and its longest host labels.
+    known = lambda c: sorted(r[0] for r in listed.select(c).distinct().collect())
     rows = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     pairs = rows.where("host != ''").select("host", "path").distinct()
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>")
-    made = F.flatten(F.transform(suffixes, lambda s: F.transform(F.filter(prefixes, lambda p: p.isNotNull()), lambda p: F.concat(s, p))))
+    strings = lambda cs: F.array_compact(F.array(*cs)) if cs else F.array().cast("array<string>")
+    suffixes = strings([F.when(_labels(F.col("host")) >= n, F.substring_index("host", ".", -n)) for n in known("labels")])
+    prefixes = strings([F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in known("path_len")])
+    made = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
     asked = pairs.select("host", "path", F.explode(made).alias("rule")).where("rule != ''")
     asked = asked.withColumn("block", _block(F.col("rule"), blocks)).withColumn("mask", _mask(F.col("rule")))
     # At most `blocks` rows of 16 bytes.
     possible = asked.join(F.broadcast(bloom_filter(listed, "rule", blocks)), "block").where(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"))
     hits = possible.select("host", "path", "rule").join(listed, "rule")
     best = hits.groupBy("host", "path").agg(F.max(F.struct((F.col("host_len") + F.col("path_len")).alias("n"), "host_len", "rule", "verdict")).alias("best"))
-    best = best.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
-    found = rows.join(best, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left")
+    best = materialize(best.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict")), "url-verdicts")
+    key = F.when(F.col("host") == "", F.concat(F.lit("\0"), F.col("id").cast("string"))).otherwise(F.col("host"))
+    found = rows.withColumn("_key", key).join(best, (F.col("_key") == F.col("_h")) & (F.col("path") == F.col("_p")), "left")
     return found.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
