@@ -2,8 +2,9 @@
 
 Texts are keyed by the SHA-256 of their normalised content and a digest of the tokenizer (its file
 and its library's version). Counts found in the cache are joined; the distinct texts that miss are
-encoded once each and appended to the cache, a Parquet table in shared storage. A new tokenizer file
-or library never meets old counts.
+encoded once each and appended to the cache, a Parquet table in shared storage with a folder for each
+tokenizer. A new tokenizer file or library never meets old counts. Of the cache a run reads its
+tokenizer's digests, 32 bytes a text, and keeps, groups and writes only the counts that it needs.
 
 The encoder is the tokenizer's own library. For a byte-level BPE without normaliser, texts are cut
 where no token can cross (``pretokens.py``) and a worker remembers the counts of the chunks it has
@@ -33,14 +34,13 @@ def normalised(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
-def tokenizer_digest(path: str) -> str:
+def tokenizer_digest(path: str, data: bytes) -> str:
     """Digest of the tokenizer's file and its library's version."""
     import sentencepiece
     import tokenizers
 
     version = f"sentencepiece {sentencepiece.__version__}" if path.endswith(".model") else f"tokenizers {tokenizers.__version__}"
-    with open(path, "rb") as f:
-        return hashlib.sha256(version.encode() + b"\0" + f.read()).hexdigest()
+    return hashlib.sha256(version.encode() + b"\0" + data).hexdigest()
 
 
 def _cuttable(spec: dict) -> bool:
@@ -53,21 +53,20 @@ def _cuttable(spec: dict) -> bool:
 class Counter:
     """Counts tokens of texts with the library that a tokenizer file belongs to."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, data: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if path.endswith(".model"):
             import sentencepiece
 
-            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            model = sentencepiece.SentencePieceProcessor(model_proto=data)
             self._whole, self._cut = (lambda text: len(model.encode(text))), False
         else:
             from tokenizers import Tokenizer
 
-            model = Tokenizer.from_file(path)
+            model = Tokenizer.from_buffer(data)
             model.no_truncation()
             model.no_padding()
-            with open(path, encoding="utf-8") as f:
-                self._cut = _cuttable(json.load(f))
+            self._cut = _cuttable(json.loads(data))
             self._whole = lambda text: len(model.encode_batch_fast([text], add_special_tokens=False)[0])
         self._chunk = Memo(self._whole)
         self._spaced = Memo(lambda chunk: self._whole(" " + chunk))
@@ -84,11 +83,11 @@ class Counter:
 _COUNTERS: dict[str, Counter] = {}
 
 
-def counter(path: str) -> Counter:
+def counter(version: str, path: str, data: bytes) -> Counter:
     """One counter for each Python worker, so its memo serves all tasks of that worker."""
-    if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(path)
-    return _COUNTERS[path]
+    if version not in _COUNTERS:
+        _COUNTERS[version] = Counter(path, data)
+    return _COUNTERS[version]
 
 
 def _cached(spark: SparkSession, cache_path: str, version: str) -> DataFrame:
@@ -103,28 +102,37 @@ def token_counts(df: DataFrame, tokenizer_path: str, cache_path: str, limit: int
 
     Counts are those of the library without begin, end or added special tokens; special strings in
     a text are handled as the library does by default. Defined cases: a null text counts as empty
-    (0 tokens); repeated texts are encoded once; repeated rows are returned as often as they came; an
-    empty table gives an empty result; other columns are ignored. A cache row written twice, by a
-    run that another overtook, is counted once.
+    (0 tokens); a text of any length is counted whole, with memory for its pieces; repeated texts are
+    encoded once; repeated rows are returned as often as they came; an empty table gives an empty
+    result; other columns are ignored. A cache row written twice, by a run that another overtook, is
+    counted once. The driver reads the tokenizer's file; workers get it by broadcast.
     """
     spark = df.sparkSession
     ship(spark)
-    version = tokenizer_digest(tokenizer_path)
+    with open(tokenizer_path, "rb") as f:
+        data = f.read()
+    version, shared = tokenizer_digest(tokenizer_path, data), spark.sparkContext.broadcast(data)
     rows = df.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("text"))
     rows = rows.withColumn("digest", F.unhex(F.sha2(F.encode("text", "utf-8"), 256)))
-    misses = rows.select("digest", "text")
+    misses, known = rows.select("digest", "text"), None
     if path_exists(spark, cache_path):
-        misses = misses.join(_cached(spark, cache_path, version).select("digest"), "digest", "left_anti")
+        known = _cached(spark, cache_path, version).select("digest")
+        known = None if known.isEmpty() else known
+    if known is not None:
+        misses = misses.join(known, "digest", "left_anti")
     distinct = misses.groupBy("digest").agg(F.first("text").alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer_path)
+        count = counter(version, tokenizer_path, shared.value)
         for batch in batches:
             n = [count(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array([version] * len(n), pa.string()), batch.column(0), pa.array(n, pa.int64())], ["tokenizer", "digest", "n_tokens"])
 
-    distinct.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    distinct.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
+    counts = _cached(spark, cache_path, version)
+    if known is not None:  # a cache of other runs, too
+        counts = counts.join(rows.select("digest").distinct(), "digest", "left_semi")
     # Written counts leave a plain join, whose hot partitions Spark can split.
-    counts = materialize(_cached(spark, cache_path, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
+    counts = materialize(counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     keys = rows.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     return keys.join(counts, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
