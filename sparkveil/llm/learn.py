@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkveil.session import named
+
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
@@ -120,25 +122,27 @@ def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(F.encode(doc_id.cast("string"), "utf-8")), F.lit(4)) == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id") -> DataFrame:
-    """At most ``most`` documents with a label to learn from, as ``id``, ``label``, ``fold`` and all
-    columns of ``docs`` in ``row``: those whose ids hash lowest, so reruns agree. An id with several
-    labels has the largest; null labels and ids don't count."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, columns: tuple[str, ...], id_col: str = "doc_id") -> DataFrame:
+    """At most ``most`` documents with a label to learn from, as ``id``, ``label``, ``fold`` and
+    ``columns`` of ``docs`` as strings ``c0``, ``c1`` and so on: those whose ids hash lowest, so reruns
+    agree. An id with several labels has the largest; null labels and ids don't count; of rows with the
+    same id the first by text counts."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     chosen = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(label).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(most)
-    return _pick(docs, chosen, id_col).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(2)).cast("int"))
+    # `chosen` has as many rows as the sample's bound.
+    rows = strings(docs, columns, id_col).join(F.broadcast(chosen), "id")
+    row = F.struct(*[f"c{i}" for i in range(len(columns))])
+    once = rows.groupBy("id", "label").agg(F.min(row).alias("row")).select("id", "label", "row.*")
+    return once.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(2)).cast("int"))
 
 
-def unlabelled_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
-    """At most ``most`` documents without a label, as ``id``, ``label`` (null) and ``row``."""
-    known = labels.select(F.col("doc_id").cast("long").alias("id")).where("id is not null")
-    chosen = docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null").join(known, "id", "left_anti").distinct()
-    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(most).withColumn("label", F.lit(None).cast("int"))
-    return _pick(docs, chosen, id_col)
+def strings(docs: DataFrame, columns: tuple[str, ...], id_col: str = "doc_id") -> DataFrame:
+    """``id, c0, c1, ...``: columns of any names, as strings."""
+    return docs.select(named(id_col).cast("long").alias("id"), *[named(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
 
 
-def _pick(docs: DataFrame, chosen: DataFrame, id_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*docs.columns).alias("row"))
-    # `chosen` has as many rows as the sample's bound.
-    return rows.join(F.broadcast(chosen), "id").dropDuplicates(["id"])
+def unlabelled(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...], id_col: str = "doc_id") -> DataFrame:
+    """All documents without a label, as ``id`` and ``columns``."""
+    known = labels.select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct()
+    return strings(docs, columns, id_col).where("id is not null").join(known, "id", "left_anti")

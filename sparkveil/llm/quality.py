@@ -3,8 +3,8 @@
 The text view has what the words are like: variety, repetition, lengths, symbols, capitals. The
 metadata view has what a crawler records about a page without reading it: its language, its source's
 bucket, its length, and how it is laid out in lines. Each view trains boosted trees on the labelled
-sample. Over ``ROUNDS`` rounds each labels the unlabelled documents it is most sure of for the other.
-Each view's scores are then calibrated on labelled documents that its trees did not see, and a
+sample. Over ``ROUNDS`` rounds each scores all unlabelled documents and labels those it is most sure of,
+``PICKS`` of either class, for the other. Each view's scores are then calibrated on labelled documents that its trees did not see, and a
 logistic regression over the calibrated views scores all documents.
 """
 
@@ -13,22 +13,22 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkveil.llm.learn import BoostedTrees, Isotonic, Logistic, held_out, labelled_sample, sigmoid, unlabelled_sample
-from sparkveil.session import ship
+from sparkveil.llm.learn import BoostedTrees, Isotonic, Logistic, held_out, labelled_sample, sigmoid, strings, unlabelled
+from sparkveil.session import materialize, ship
 
-#: Labelled, and unlabelled, documents that the model learns from, at most.
+#: Labelled documents that the model learns from, at most.
 SAMPLE = 6000
 ROUNDS = 3
-#: The share of the unlabelled sample that a view labels for the other in a round, of either class.
-CONFIDENT = 0.05
-SURE = 0.9
+#: Unlabelled documents with different features that a view labels for the other in a round, of either
+#: class, and how sure it must be.
+PICKS, SURE = 300, 0.9
 LANGUAGES = ("en", "fr", "de", "es")
 SOURCE_BUCKETS = 8
 TEXT, META = 18, 8 + len(LANGUAGES) + SOURCE_BUCKETS
@@ -61,16 +61,23 @@ def meta_view(text: str, lang: str | None, source: str | None) -> list[float]:
     return base + [float(lang == x) for x in LANGUAGES] + [float(bucket == i) for i in range(SOURCE_BUCKETS)]
 
 
-def _views(df: DataFrame, text_col: str) -> DataFrame:
-    """``id, label, x``: the features of both views, the text's first, of a sample's rows."""
+def _features(texts: list, langs: list, sources: list) -> np.ndarray:
+    """The features of both views, the text's first."""
+    rows = [text_view(t or "") + meta_view(t or "", a, b) for t, a, b in zip(texts, langs, sources)]
+    return np.array(rows, float).reshape(-1, TEXT + META)
+
+
+def _views(rows: DataFrame, keys: str) -> DataFrame:
+    """The columns ``keys`` and ``x``, the features of the rows' c0 (text), c1 and c2."""
+    names = [k.split()[0] for k in keys.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, langs, sources = (batch.column(i).to_pylist() for i in (2, 3, 4))
-            rows = [text_view(t or "") + meta_view(t or "", a, b) for t, a, b in zip(texts, langs, sources)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["id", "label", "x"])
+            k = len(names)
+            x = _features(*(batch.column(k + i).to_pylist() for i in range(3)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(list(x), pa.list_(pa.float64()))], [*names, "x"])
 
-    return df.select("id", "label", *[F.col(f"row.{c}").cast("string").alias(f"c{i}") for i, c in enumerate((text_col, "lang", "source"))]).mapInArrow(run, "id long, label int, x array<double>")
+    return rows.select(*names, "c0", "c1", "c2").mapInArrow(run, f"{keys}, x array<double>")
 
 
 class QualityModel:
@@ -92,29 +99,64 @@ def _logits(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def co_train(x: np.ndarray, y: np.ndarray, pool: np.ndarray) -> QualityModel:
-    """Train on labelled rows ``x, y`` and unlabelled rows ``pool``. Every fourth labelled row is
-    kept for the calibration and the combination."""
-    parts, extra = (slice(0, TEXT), slice(TEXT, None)), [({}), ({})]
+#: The most confident rows of a pool, for a view and a class: keys of equal features, and the features.
+Picks = Callable[[list[BoostedTrees]], dict[tuple[int, int], list[tuple[int, np.ndarray]]]]
+
+
+def confident(pool: DataFrame, trees: list[BoostedTrees], picks: int = PICKS) -> dict[tuple[int, int], list[tuple[int, np.ndarray]]]:
+    """For each view and class the ``picks`` rows of ``pool`` (same, x) with different features whose
+    view is surest, at least ``SURE``. A task keeps that many for itself, so four lists of ``picks``
+    rows come to the driver and no more than that from any task is written."""
+    parts = (slice(0, TEXT), slice(TEXT, None))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int], dict[int, tuple[float, list[float]]]] = {(v, c): {} for v in (0, 1) for c in (0, 1)}
+        for batch in batches:
+            same = batch.column(0).to_pylist()
+            x = np.asarray(batch.column(1).flatten()).reshape(-1, TEXT + META)
+            for view in (0, 1):
+                p = sigmoid(trees[view].raw(x[:, parts[view]]))
+                for label in (0, 1):
+                    sure, held = p if label else 1 - p, best[view, label]
+                    for i in np.argsort(-sure, kind="stable")[: 4 * picks].tolist():
+                        if sure[i] >= SURE:
+                            held[same[i]] = (float(sure[i]), x[i].tolist())
+                    if len(held) > picks:
+                        best[view, label] = dict(sorted(held.items(), key=lambda h: (-h[1][0], h[0]))[:picks])
+        rows = [(v, c, k, s, x) for (v, c), held in best.items() for k, (s, x) in held.items()]
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["view", "label", "same", "sure", "x"])
+
+    made = pool.select("same", "x").mapInArrow(run, "view int, label int, same long, sure double, x array<double>")
+    made = materialize(made.dropDuplicates(["view", "label", "same"]), "quality-picks")
+    found = {}
+    for view in (0, 1):
+        for label in (0, 1):
+            rows = made.where((F.col("view") == view) & (F.col("label") == label)).orderBy(F.desc("sure"), "same").limit(picks).collect()
+            found[view, label] = [(r["same"], np.array(r["x"])) for r in rows]
+    return found
+
+
+def co_train(x: np.ndarray, y: np.ndarray, picks: Picks | None, rounds: int = ROUNDS) -> QualityModel:
+    """Train on labelled rows ``x, y``; ``picks`` gives the unlabelled rows that trees are surest of.
+    Every fourth labelled row is kept for the calibration and the combination."""
+    parts, extra = (slice(0, TEXT), slice(TEXT, None)), ({}, {})
     keep = np.arange(len(y)) % 4 == 3
     fit_x, fit_y = x[~keep], y[~keep]
 
     def train(view: int) -> BoostedTrees:
-        rows = sorted(extra[view])
-        more = pool[rows][:, parts[view]] if rows else np.empty((0, fit_x[:, parts[view]].shape[1]))
-        weight = np.concatenate([np.ones(len(fit_y)), np.full(len(rows), 0.3)])
-        return BoostedTrees(rounds=50).fit(np.concatenate([fit_x[:, parts[view]], more]), np.concatenate([fit_y, [extra[view][r] for r in rows]]), weight)
+        more = [extra[view][k] for k in sorted(extra[view])]
+        features = np.concatenate([fit_x[:, parts[view]], np.array([m[1][parts[view]] for m in more]).reshape(len(more), -1)]) if more else fit_x[:, parts[view]]
+        weight = np.concatenate([np.ones(len(fit_y)), np.full(len(more), 0.3)])
+        return BoostedTrees(rounds=50).fit(features, np.concatenate([fit_y, [m[0] for m in more]]), weight)
 
     trees = [train(0), train(1)]
-    for _ in range(ROUNDS if len(pool) else 0):
-        for view in (0, 1):
-            p = sigmoid(trees[view].raw(pool[:, parts[view]]))
-            n = max(1, int(CONFIDENT * len(pool)))
-            order = np.argsort(p, kind="stable")
-            for label, rows in ((1.0, order[::-1][:n]), (0.0, order[:n])):
-                for r in rows.tolist():
-                    if (p[r] if label else 1 - p[r]) >= SURE:  # a view without a sure opinion gives none
-                        extra[1 - view].setdefault(r, label)
+    for _ in range(rounds if picks else 0):
+        found = picks(trees)
+        for (view, label), rows in found.items():  # a view without a sure opinion gives none
+            for key, row in rows:
+                extra[1 - view].setdefault(key, (float(label), row))
         trees = [train(0), train(1)]
     held_x, held_y = (x[keep], y[keep]) if keep.any() else (x, y)
     calibrations = [Isotonic().fit(trees[v].raw(held_x[:, parts[v]]), held_y) for v in (0, 1)]
@@ -123,37 +165,40 @@ def co_train(x: np.ndarray, y: np.ndarray, pool: np.ndarray) -> QualityModel:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE) -> QualityModel:
-    """Learn from at most ``most`` labelled documents, none held out, and as many unlabelled ones."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE, rounds: int = ROUNDS) -> QualityModel:
+    """Learn from at most ``most`` labelled documents, none held out, and from all unlabelled ones,
+    whose features are written once and scored in each round."""
     ship(docs.sparkSession)
-    known = _views(labelled_sample(docs, labels, "quality", most, id_col), text_col)
-    pool = _views(unlabelled_sample(docs, labels, most, id_col), text_col)
-    # 2 * most rows of numbers at most
-    rows = sorted(known.unionByName(pool).collect(), key=lambda r: r["id"])
-    shape = lambda part: np.array([r["x"] for r in part], float).reshape(-1, TEXT + META)
-    own, rest = [r for r in rows if r["label"] is not None], [r for r in rows if r["label"] is None]
+    columns = (text_col, "lang", "source")
+    known = _views(labelled_sample(docs, labels, "quality", most, columns, id_col), "id long, label int")
+    own = sorted(known.collect(), key=lambda r: r["id"])  # `most` rows of numbers at most
     if not own:  # nothing to learn: every score is one half
-        own = []
-        x, y = np.zeros((0, TEXT + META)), np.zeros(0)
-        neutral = QualityModel([BoostedTrees(), BoostedTrees()], [Isotonic().fit(y, y), Isotonic().fit(y, y)], Logistic())
+        none = np.zeros(0)
+        neutral = QualityModel([BoostedTrees(), BoostedTrees()], [Isotonic().fit(none, none), Isotonic().fit(none, none)], Logistic())
         neutral.combination.w = np.zeros(3)
         return neutral
-    return co_train(shape(own), np.array([r["label"] for r in own], float), shape(rest))
+    picks = None
+    if rounds:
+        pool = _views(unlabelled(docs, labels, columns, id_col), "id long").select(F.xxhash64("x").alias("same"), "x")
+        pool = materialize(pool, "quality-pool")
+        picks = lambda trees: confident(pool, trees)
+    x = np.array([r["x"] for r in own], float).reshape(-1, TEXT + META)
+    return co_train(x, np.array([r["label"] for r in own], float), picks, rounds)
 
 
 def _score_rows(batch: pa.RecordBatch, at: int, model: QualityModel) -> tuple[np.ndarray, np.ndarray]:
-    texts, langs, sources = (batch.column(at + i).to_pylist() for i in range(3))
-    x = np.array([text_view(t or "") + meta_view(t or "", a, b) for t, a, b in zip(texts, langs, sources)], float).reshape(-1, TEXT + META)
-    return model(x), model.views(x)
+    views = model.views(_features(*(batch.column(at + i).to_pylist() for i in range(3))))
+    return model.combination(_logits(views)), views
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """One row per input row: ``doc_id, held_out, score`` (of good quality), ``predicted`` and the
     calibrated ``text_score`` and ``meta_score``.
 
-    Defined cases: a null text counts as empty, a null language or source as unknown; without labels
-    every score is 0.5; repeated rows are returned as often as they came; an empty table gives an
-    empty result; columns other than lang and source are ignored.
+    Defined cases: a null text counts as empty, a null language or source as unknown; a text of any
+    length is read whole, as lists of its words and lines; without labels every score is 0.5; repeated
+    rows are returned as often as they came; an empty table gives an empty result; columns other than
+    lang and source are ignored.
     """
     ship(docs.sparkSession)
 
@@ -162,22 +207,22 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
             p, views = _score_rows(batch, 1, model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(views[:, 0]), pa.array(views[:, 1])], ["id", "score", "text_score", "meta_score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate((text_col, "lang", "source"))])
-    scored = rows.mapInArrow(run, "id long, score double, text_score double, meta_score double")
+    scored = strings(docs, (text_col, "lang", "source"), id_col).mapInArrow(run, "id long, score double, text_score double, meta_score double")
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_score", "meta_score")
 
 
-def good_documents(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that the model does not reject, with all their columns, without a join:
-    the texts pass through the scoring task."""
+def good_documents(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that the model does not reject, with all their columns, of any names,
+    without a join: the texts pass through the scoring task. Cases are those of ``score``."""
     ship(docs.sparkSession)
-    schema = docs.schema
+    names = docs.columns
+    packed = docs.toDF(*[f"c{i}" for i in range(len(names))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p, _ = _score_rows(batch, len(batch.schema) - 3, model)
+            p, _ = _score_rows(batch, len(names), model)
             kept = batch.filter(pa.array(p >= threshold))
             yield pa.RecordBatch.from_arrays(kept.columns[:-3], schema=pa.schema(list(kept.schema)[:-3]))
 
-    wide = docs.select(*docs.columns, F.col(text_col).cast("string").alias("_t"), F.col("lang").cast("string").alias("_l"), F.col("source").cast("string").alias("_s"))
-    return wide.mapInArrow(run, schema)
+    seen = [F.col(f"c{names.index(c)}").cast("string").alias(f"_{i}") for i, c in enumerate((text_col, "lang", "source"))]
+    return packed.select("*", *seen).mapInArrow(run, packed.schema).toDF(*names)

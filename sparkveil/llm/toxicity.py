@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkveil.llm.learn import BoostedTrees, Isotonic, held_out, labelled_sample, sigmoid
+from sparkveil.llm.learn import BoostedTrees, Isotonic, held_out, labelled_sample, sigmoid, strings
 from sparkveil.session import materialize, ship
 
 #: Documents with a label that the model learns from, at most.
@@ -65,7 +65,7 @@ def terms_of(text: str) -> set[str]:
     return out
 
 
-def term_counts(sample: DataFrame, text_col: str) -> DataFrame:
+def term_counts(sample: DataFrame) -> DataFrame:
     """``term, n00, n01, n10, n11``: in how many documents of fold i and label j each term is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,25 +77,23 @@ def term_counts(sample: DataFrame, text_col: str) -> DataFrame:
             rows = [pa.array(list(counts), pa.string()), *(pa.array([c[i] for c in counts.values()], pa.int64()) for i in range(4))]
             yield pa.RecordBatch.from_arrays(rows, ["term", "n00", "n01", "n10", "n11"])
 
-    rows = sample.select(F.col("label").cast("int"), "fold", F.col(f"row.{text_col}").alias("text"))
+    rows = sample.select(F.col("label").cast("int"), "fold", F.col("c0").alias("text"))
     made = rows.mapInArrow(run, "term string, n00 long, n01 long, n10 long, n11 long")
     return made.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n00", "n01", "n10", "n11")])
 
 
-def learn_lexicon(counts: list[tuple[str, int, int]], clean: int, toxic: int) -> dict[str, float]:
-    """Terms that occur in far more toxic documents than their share, with a weight: the log odds,
-    shrunk for terms with little evidence (G² of the two counts)."""
-    found = []
-    for term, n0, n1 in counts:
-        n = n0 + n1
-        share = toxic / max(1, clean + toxic)
-        if n1 < 2 or not 0 < share < 1 or n1 / n <= share:
-            continue
-        g2 = 2 * (n1 * math.log(n1 / (n * share)) + (n0 * math.log(n0 / (n * (1 - share))) if n0 else 0))
-        odds = math.log((n1 + 0.5) / (toxic + 1)) - math.log((n0 + 0.5) / (clean + 1))
-        if g2 >= 8 and odds >= 1:
-            found.append((-g2, term, odds * math.tanh(g2 / 20)))
-    return {term: weight for _, term, weight in sorted(found)[:LEXICON]}
+def learn_lexicon(counts: DataFrame, zeros: str, ones: str, clean: int, toxic: int) -> dict[str, float]:
+    """Terms that occur in far more toxic documents (column ``ones``) than their share, with a weight:
+    the log odds, shrunk for terms with little evidence (G² of the two counts). The ``LEXICON`` terms
+    with most evidence."""
+    if not clean or not toxic:
+        return {}
+    share, n0, n1 = toxic / (clean + toxic), F.col(zeros), F.col(ones)
+    n = n0 + n1
+    g2 = 2 * (n1 * F.ln(n1 / (n * share)) + F.when(n0 > 0, n0 * F.ln(n0 / (n * (1 - share)))).otherwise(0.0))
+    odds = F.ln((n1 + 0.5) / (toxic + 1)) - F.ln((n0 + 0.5) / (clean + 1))
+    found = counts.where((n1 >= 2) & (n1 / n > share)).select("term", g2.alias("g2"), odds.alias("odds")).where("g2 >= 8 and odds >= 1")
+    return {r["term"]: r["odds"] * math.tanh(r["g2"] / 20) for r in found.orderBy(F.desc("g2"), "term").limit(LEXICON).collect()}
 
 
 class ToxicFeatures:
@@ -181,15 +179,12 @@ class ToxicModel:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE) -> ToxicModel:
     """Learn from at most ``most`` labelled documents, none of which is held out."""
     ship(docs.sparkSession)
-    sample = materialize(labelled_sample(docs, labels, "toxic", most, id_col), "toxic-sample")
+    sample = materialize(labelled_sample(docs, labels, "toxic", most, (text_col,), id_col), "toxic-sample")
     sizes = {(r["fold"], r["label"]): r["n"] for r in sample.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = ([sizes.get((f, k), 0) for f in (0, 1)] for k in (1, 0))
-    # Terms of enough toxic documents, above their share; the strongest only, so the list is bounded.
-    share = max(1e-9, sum(toxic) / max(1, sum(toxic) + sum(clean)))
-    terms = term_counts(sample, text_col).where("n01 + n11 >= 2").withColumn("lift", (F.col("n01") + F.col("n11")) / (F.col("n00") + F.col("n10") + F.col("n01") + F.col("n11")) / share)
-    terms = terms.where("lift > 1.5").orderBy(F.desc(F.expr("(n01 + n11) * ln(lift)")), "term").limit(20 * LEXICON).collect()
-    of = [learn_lexicon([(t["term"], t[f"n{f}0"], t[f"n{f}1"]) for t in terms], clean[f], toxic[f]) for f in (0, 1)]
-    whole = learn_lexicon([(t["term"], t["n00"] + t["n10"], t["n01"] + t["n11"]) for t in terms], sum(clean), sum(toxic))
+    terms = materialize(term_counts(sample).withColumns({"n0": F.col("n00") + F.col("n10"), "n1": F.col("n01") + F.col("n11")}), "toxic-terms")
+    of = [learn_lexicon(terms, f"n{f}0", f"n{f}1", clean[f], toxic[f]) for f in (0, 1)]
+    whole = learn_lexicon(terms, "n0", "n1", sum(clean), sum(toxic))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         makers = [ToxicFeatures(of[1]), ToxicFeatures(of[0])]  # the other half's lexicon
@@ -198,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             rows = [makers[f].row(t or "") for f, t in zip(folds, texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], ["id", "label", "fold", "x"])
 
-    rows = sample.select("id", "label", "fold", F.col(f"row.{text_col}").alias("text")).mapInArrow(run, "id long, label int, fold int, x array<double>")
+    rows = sample.select("id", "label", "fold", F.col("c0").alias("text")).mapInArrow(run, "id long, label int, fold int, x array<double>")
     data = sorted(rows.collect(), key=lambda r: r["id"])  # SAMPLE rows of numbers at most
     x = np.array([r["x"] for r in data], float).reshape(-1, FEATURES)
     y, fold = np.array([r["label"] for r in data], float), np.array([r["fold"] for r in data], int)
@@ -211,8 +206,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """One row per input row: ``doc_id, held_out, score, predicted``.
 
-    Defined cases: a null text counts as empty; without labels of both classes the score is the share
-    of toxic labels (0.5 if there are none); repeated rows are returned as often as they came; an
+    Defined cases: a null text counts as empty; a text of any length is read whole, as a list of its
+    words; without labels of both classes the score is the share of toxic labels (0.5 if there are
+    none); repeated rows are returned as often as they came; an
     empty table gives an empty result; other columns are ignored, so no label reaches a score.
     """
     ship(docs.sparkSession)
@@ -223,6 +219,5 @@ def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
             p = model(maker.rows(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], ["id", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    scored = rows.mapInArrow(run, "id long, score double")
+    scored = strings(docs, (text_col,), id_col).mapInArrow(run, "id long, score double")
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
