@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkveil.session import materialize, path_bytes
+from sparkveil.session import materialize
 
 
 @dataclass(frozen=True)
@@ -48,8 +48,8 @@ ADDED = (
     Rule("url_login", r"[A-Za-z][A-Za-z0-9+.-]*://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/@]+@"),
 )
 RULES = BASE + ADDED
-#: Candidate documents are broadcast up to this size of their written table; beyond it they are joined by a shuffle.
-BROADCAST_BYTES = 16 << 20
+#: Candidate documents are broadcast up to this many rows of 16 bytes; beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 1 << 19
 _EXACT = 12
 
 
@@ -187,7 +187,9 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: ``doc_id`` and ``found``, all spans as structs start, order (of the
     rule), end, sorted.
 
-    Defined cases: a null text counts as empty and has no spans; rows with the same id are looked up
+    Defined cases: a null text counts as empty and has no spans; a text of any length is scanned whole
+    (its list of spans is built match by match, which is quadratic in the matches of one rule in one
+    text); rows with the same id are looked up
     together, which only adds candidates; a null id is an id like any other; repeated rows are
     returned as often as they came; an empty table gives an empty result; other columns are ignored.
     """
@@ -199,7 +201,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         postings = trigram_index(df, id_col, text_col, trigrams)
         written = materialize(candidates(postings, [queries[i] for i in indexed], trigrams), "secret-candidates")
         found = written.withColumnRenamed("id", "_id")
-        if path_bytes(df.sparkSession, written._sparkveil_path) <= BROADCAST_BYTES:
+        if written.count() <= BROADCAST_ROWS:
             found = F.broadcast(found)
         rows = rows.join(found, F.col("id").eqNullSafe(F.col("_id")), "left")
     else:
