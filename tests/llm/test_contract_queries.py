@@ -83,6 +83,17 @@ def test_media(spark, sf, docs):
         payload = data + b"\xff" * (-len(data) % 576 if data else 576)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
         assert r.tail_crc32 == zlib.crc32(payload[-32:]) and r.media_bytes > len(payload)
+        # the payload is the file's last box: every eighth of its blocks is a keyframe
+        n, at = len(payload) // 576, r.media_bytes - len(payload)
+        ranges = [(at + 576 * i, 576) for i in range(0, n, 8)]
+        packed = zlib.crc32(b"".join(a.to_bytes(8, "big") + b.to_bytes(8, "big") for a, b in ranges))
+        assert r.keyframes == ",".join(f"{a}+{b}" for a, b in ranges) and (r.n_keyframes, r.keyframe_bytes) == (len(ranges), 576 * len(ranges))
+        assert r.feature == f"codec=raw;timescale=8000;duration={len(payload)};samples={n};keyframes={len(ranges)};first={at}+576;last={ranges[-1][0]}+576;ranges_crc32={packed}"
+        assert r.codec == "raw " and r.duration_s == len(payload) / 8000
+    stored = {}
+    for r in out:
+        assert stored.setdefault(r.payload_sha256, (r.media_sha256, r.media_bytes)) == (r.media_sha256, r.media_bytes)
+    assert len({m for m, _ in stored.values()}) == len(stored)
 
 
 def test_bpe(spark, sf, docs):

@@ -2,13 +2,14 @@
 
 import random
 import struct
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from sparkveil.llm import byte_bpe, exact_dedup, media_boxes, quality, secret_scan, simhash, source_mix, token_cache, toxicity, url_filter
+from sparkveil.llm import byte_bpe, exact_dedup, media_boxes, near_copies, quality, secret_scan, simhash, source_mix, token_cache, toxicity, url_filter
 from sparkveil.llm.components import connected_components
 from sparkveil.llm.learn import BoostedTrees, Isotonic
 from sparkveil.session import shared_path
@@ -19,34 +20,66 @@ ROWS = [(1, "a b", "s", "en"), (2, " ab", "s", "en"), (2, " ab", "s", "en"), (No
 @pytest.fixture(scope="module")
 def odd(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string, source string, lang string")
-    for name in ("id", "fp", "key", "label", "row", "rules", "target", "size", "_norm", "_h", "root", "digest", "score", "start", "value"):
+    for name in ("id", "fp", "key", "label", "row", "rules", "target", "size", "_norm", "_h", "root", "digest", "score", "start", "value", "a.b", "_gone", "_gone_key", "_row_id", "_row_key", "_key", "c0", "c1", "_0", "_text", "_t", "`x"):
         df = df.withColumn(name, F.lit(0))
     return df
 
 
 def runs(spark):
     cache = shared_path(spark, "test-cache")
+    none = spark.createDataFrame([(1, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    rules = url_filter.rules_table(spark, [("b", "/", "block")])
     return {
         "exact": exact_dedup.exact_dedup,
-        "drop": exact_dedup.drop_copies,
         "mix": lambda d: source_mix.mix_sources(d, source_mix.cycle_weights()),
-        "mixed": lambda d: source_mix.mixed_documents(d, source_mix.cycle_weights()),
         "tokens": lambda d: token_cache.token_counts(d, P.path("byte_bpe_50k.json"), cache),
         "media": media_boxes.stored_digests,
+        "files": lambda d: media_boxes.media_columns(d, "text", "doc_id"),
         "secrets": secret_scan.scan_secrets,
         "bpe": lambda d: byte_bpe.encoded_digests(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN),
+        "ids": lambda d: byte_bpe.encode_column(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN),
+        "urls": lambda d: url_filter.judge_urls(d, rules, "doc_id", "text"),
         "simhash": simhash.near_dedup,
+        "toxicity": lambda d: toxicity.score(d, toxicity.fit(d, none)),
+        "quality": lambda d: quality.score(d, quality.fit(d, none)),
+        "good": lambda d: quality.good_documents(d, quality.fit(d, none)),
+        # the next ones leave rows out
+        "drop": exact_dedup.drop_copies,
+        "mixed": lambda d: source_mix.mixed_documents(d, source_mix.cycle_weights()),
         "near": simhash.one_of_each,
+        "near_copies": near_copies.one_of_each,
     }
 
 
-@pytest.mark.parametrize("name", ["exact", "mix", "tokens", "media", "secrets", "bpe", "simhash"])
+@pytest.mark.parametrize("name", ["exact", "mix", "tokens", "media", "files", "secrets", "bpe", "ids", "urls", "simhash", "toxicity", "quality", "good"])
 def test_every_row_comes_back(spark, odd, name):
     f = runs(spark)[name]
     assert f(odd).count() == len(ROWS)
     assert f(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("name", "ids"), [("drop", ["1", "7", "None"]), ("near", ["1", "2", "7", "None"]), ("near_copies", ["1", "2", "7", "None"]), ("good", ["1", "2", "2", "7", "8", "None", "None"])])
+def test_whole_rows_pass_through(spark, odd, name, ids):
+    f = runs(spark)[name]
+    out = f(odd)
+    assert out.columns == odd.columns and [x.dataType for x in out.schema] == [x.dataType for x in odd.schema]
+    assert sorted(str(r.doc_id) for r in out.collect()) == ids
+    assert f(odd.limit(0)).count() == 0 and f(odd.limit(0)).columns == odd.columns
+
+
+def test_mixed_rows_pass_through(spark, odd):
+    out = runs(spark)["mixed"](odd)
+    assert out.columns == odd.columns and {r.doc_id for r in out.collect()} <= {1, 2, 7, 8}
+    assert runs(spark)["mixed"](odd.limit(0)).count() == 0
+
+
+def test_labels_reach_the_classifiers_by_id(spark, odd):
+    """Repeated and null ids, and texts of any kind, among the labelled rows."""
+    known = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (2, None, 0), (7, 1, 0), (8, 0, 1), (None, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
+    for out in (toxicity.score(odd, toxicity.fit(odd, known)), quality.score(odd, quality.fit(odd, known))):
+        assert out.count() == len(ROWS) and all(0 <= r["score"] <= 1 for r in out.collect())
+
+
 def test_exact_dedup_ties(odd):
     out = sorted((str(r.doc_id), r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(odd).collect())
     assert out == sorted([("1", 1, 4, True), ("2", 1, 4, False), ("2", 1, 4, False), ("8", 1, 4, False), ("7", 7, 1, True), ("None", None, 2, True), ("None", None, 2, False)])
@@ -122,6 +155,56 @@ def test_mix_shards_follow_the_source_quota(spark):
     assert pieces.select(F.sum(source_mix.word_count(F.col("text")))).first()[0] == out.select(F.sum("taken")).first()[0]
 
 
+def test_shard_quotas_sum_to_the_source(spark):
+    rng = random.Random(4)
+    words = {s: [rng.choice([0, rng.randrange(1000)]) for _ in range(n)] for s, n in (("a", 1), ("b", 7), (None, 50))}
+    blocks = {"a": 3, "b": 101, None: 777}
+    totals = spark.createDataFrame([(s, i, w, blocks[s]) for s, ws in words.items() for i, w in enumerate(ws)], "source string, shard long, _all long, _quota long")
+    whole = {(r.source, r.shard): r["_quota"] for r in source_mix.shard_quotas(totals, 50).collect()}
+    for s, ws in words.items():  # one branch: largest remainders
+        base = [w * blocks[s] // max(1, sum(ws)) for w in ws]
+        order = sorted(range(len(ws)), key=lambda i: (-(ws[i] * blocks[s] % max(1, sum(ws))), i))
+        for i in order[: blocks[s] - sum(base) if sum(ws) else 0]:
+            base[i] += 1
+        assert [whole[s, i] for i in range(len(ws))] == base
+    tree = {(r.source, r.shard): r["_quota"] for r in source_mix.shard_quotas(totals, 50, fan=4).collect()}
+    for s, ws in words.items():
+        assert sum(q for (k, _), q in tree.items() if k == s) == (blocks[s] if sum(ws) else 0)
+        assert all(abs(tree[s, i] - w * blocks[s] / max(1, sum(ws))) <= 3 for i, w in enumerate(ws))
+
+
+def test_taken_by_brute_force(spark):
+    """The layout of shards and rings, from the hashes, in plain Python."""
+    rng = random.Random(6)
+    rows = [(i if i % 50 else 7, " ".join(["w"] * rng.choice([0, 1, 30, 200])) + " " * (i % 3), rng.choice(["x", "y"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = source_mix.mix_sources(df, {"x": 2, "y": 1}, shard_words=2000)
+    hashed = df.withColumns({"h": F.xxhash64(F.lit(42), "doc_id"), "o": F.xxhash64(F.lit(42), F.lit("order"), "doc_id"), "t": F.xxhash64(F.lit(42), F.lit("text"), "text")}).collect()
+    size = lambda r: len(r.text.split())
+    sizes = {s: sum(size(r) for r in hashed if r.source == s) for s in "xy"}
+    budget = Fraction(3, 2) * sum(sizes.values())
+    targets = source_mix.water_fill(sizes, {"x": 2, "y": 1}, budget)
+    blocks = source_mix.sainte_lague(targets, round(budget / 16))
+    want = []
+    for s in "xy":
+        n = max(1, -(-sizes[s] // 2000))
+        parts = [sorted((r for r in hashed if r.source == s and r.h % n == i), key=lambda r: (r.o, r.doc_id, size(r), r.t)) for i in range(n)]
+        words = [sum(map(size, part)) for part in parts]
+        quota = [w * blocks[s] // sizes[s] for w in words]
+        for i in sorted(range(n), key=lambda i: (-(words[i] * blocks[s] % sizes[s]), i))[: blocks[s] - sum(quota)]:
+            quota[i] += 1
+        for i, part in enumerate(parts):
+            k = -(-words[i] // 16)
+            first = spark.sql(f"select pmod(xxhash64(42, '{s}', {i}L), {max(1, k)}) as b").first().b * 16
+            passes, rest = divmod(min(quota[i], 2 * k), k) if k else (0, 0)
+            chosen = {(first + j) % (16 * k) for j in range(16 * rest)}
+            at = 0
+            for r in part:
+                want.append((r.doc_id, size(r), passes * size(r) + sum(p in chosen for p in range(at, at + size(r)))))
+                at += size(r)
+    assert sorted((r.doc_id, r["size"], r["taken"]) for r in out.collect()) == sorted(want)
+
+
 def test_token_cache_encodes_only_misses(spark, monkeypatch):
     path, cache = P.path("word_bpe_49k.json"), shared_path(spark, "cache")
     df = spark.createDataFrame([(1, "Hello there"), (2, "Hello there"), (3, "other <|endoftext|>")], "doc_id long, text string")
@@ -132,6 +215,8 @@ def test_token_cache_encodes_only_misses(spark, monkeypatch):
     assert spark.read.parquet(cache).count() == 3 and {k: second[k] for k in first} == first
     token_cache.token_counts(df, P.path("piece_bpe_32k.model"), cache).collect()  # another tokenizer, other counts
     assert spark.read.parquet(cache).count() == 5
+    assert {r.doc_id: r.n_tokens for r in token_cache.token_counts(df.limit(1), path, cache).collect()} == {1: first[1]}
+    assert spark.read.parquet(cache).count() == 5
 
 
 def test_perfect_hash_is_minimal_and_exact():
@@ -160,6 +245,45 @@ def test_media_boxes_other_tables():
     assert track.samples == [(0, 1), (1, 2), (10, 3), (20, 4), (30, 5)] and track.keyframes == track.samples and track.duration == 50
 
 
+def two_tracks(fragmented=True):
+    """Sound first, then pictures; the pictures go on in two fragments."""
+    box, full = media_boxes._box, media_boxes._full
+
+    def trak(number, handler, codec, sizes, offset):
+        stbl = box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(codec, bytes(8))), full(b"stts", struct.pack(">III", 1, len(sizes), 10)), full(b"stsc", struct.pack(">IIII", 1, 1, len(sizes), 1)), full(b"stsz", struct.pack(f">II{len(sizes)}I", 0, len(sizes), *sizes)), full(b"stco", struct.pack(">II", 1, offset)))
+        mdia = box(b"mdia", full(b"mdhd", struct.pack(">IIIII", 0, 0, 1000, 10 * len(sizes), 0)), full(b"hdlr", bytes(4), handler, bytes(12)), box(b"minf", stbl))
+        return box(b"trak", full(b"tkhd", struct.pack(">III", 0, 0, number)), mdia)
+
+    def moov(at):
+        mvex = box(b"mvex", full(b"trex", struct.pack(">5I", 2, 1, 20, 7, media_boxes._NOT_SYNC)))
+        return box(b"moov", trak(1, b"soun", b"mp4a", [3, 4], at), trak(2, b"vide", b"avc1", [5], at + 7), mvex)
+
+    head = moov(len(moov(0)) + 8) + box(b"mdat", bytes(12))
+    if not fragmented:
+        return head
+    # the first fragment follows its own start, the second states where its bytes are and their sizes
+    first = lambda n: box(b"moof", box(b"traf", full(b"tfhd", struct.pack(">I", 2), flags=0x20000), full(b"trun", struct.pack(">IiI", 2, n, 0), flags=0x5)))
+    one = first(len(first(0)) + 8) + box(b"mdat", bytes(14))
+    base = len(head) + len(one)
+    second = box(b"moof", box(b"traf", full(b"tfhd", struct.pack(">IQ", 2, base), flags=0x1), full(b"trun", struct.pack(">I4I", 2, 9, media_boxes._NOT_SYNC, 11, 0), flags=0x600)))
+    return head + one + second + box(b"mdat", bytes(20)), base, len(one)
+
+
+def test_media_tracks_and_fragments(spark):
+    data, base, one = two_tracks()
+    sound, pictures = media_boxes.read_media(data)
+    assert (sound.handler, sound.codec, len(sound.samples), sound.duration) == ("soun", "mp4a", 2, 20)
+    start = base - 14
+    assert pictures.samples[1:] == [(start, 7), (start + 7, 7), (base, 9), (base + 9, 11)]
+    assert pictures.keyframes == [pictures.samples[0], (start, 7), (base + 9, 11)] and pictures.duration == 10 + 4 * 20
+    with pytest.raises(media_boxes.BadMedia):
+        media_boxes.read_media(data[: base + 4])
+    df = spark.createDataFrame([(1, bytearray(data)), (2, bytearray(two_tracks(False)))], "id long, c binary")
+    out = {r.id: r for r in media_boxes.media_columns(df, "c", "id").collect()}
+    assert (out[1].codec, out[1].n_samples) == ("avc1", 5) and [t.handler for t in out[1].tracks] == ["soun", "vide"]
+    assert (out[2].codec, out[2].n_samples, out[2].error) == ("avc1", 1, None)
+
+
 def test_media_columns(spark):
     df = spark.createDataFrame([(1, bytearray(media_boxes.write_media(bytes(1152)))), (2, None), (3, bytearray(b"junk"))], "id long, c binary")
     out = {r.id: r for r in media_boxes.media_columns(df, "c", "id").collect()}
@@ -190,6 +314,13 @@ def test_url_filter_by_brute_force(spark):
         assert got[i] == ((best[2], best[3]) if best else (None, "allow")), url
 
 
+def test_hosts_of_very_many_labels(spark):
+    long = "a." * 100_000 + "net"
+    pages = spark.createDataFrame([(1, f"http://{long}/x"), (2, "http://" + "b" * 200_000 + "/x"), (3, None), (3, None), (4, "http:///net")], "page_id long, url string")
+    out = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, url_filter.rules_table(spark, [("net", "/", "block"), ("a.net", "/y", "block")])).collect()}
+    assert out == {1: ("net/", "block"), 2: (None, "allow"), 3: (None, "allow"), 4: (None, "allow")}
+
+
 def test_classifiers_without_labels(spark, odd):
     none = spark.createDataFrame([(1, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(odd, none)
