@@ -11,6 +11,7 @@ import math
 from collections.abc import Callable, Iterator
 from dataclasses import replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,9 @@ from pyspark.sql.functions import pandas_udf
 
 from sparkveil.functions import patterns as P
 from sparkveil.functions.engine import Reader, Span, rx
-from sparkveil.session import ship
+from sparkveil.operators import timeline
+from sparkveil.session import materialize, ship
+from sparkveil.sources import audio
 
 log = logging.getLogger(__name__)
 
@@ -26,6 +29,10 @@ log = logging.getLogger(__name__)
 Judge = Callable[[str, list[Span]], list]
 #: The score of a model that raised an error.
 FAILED = object()
+#: Samples and their rate to segments: dicts with start, end, text, avg_logprob and words (word, start, end, probability).
+Recognizer = Callable[[np.ndarray, int], list[dict]]
+#: Samples and their rate to turns: (speaker, start, end).
+Diarizer = Callable[[np.ndarray, int], list[tuple[str, float, float]]]
 #: Texts to vectors.
 Embedder = Callable[[list[str]], list[list[float]]]
 
@@ -65,6 +72,58 @@ def with_models(semantic: Judge | None = None, names: Judge | None = None) -> Ca
     return review
 
 
+SEGMENT = "struct<seg_id:int,start:double,end:double,text:string,avg_logprob:double,words:array<struct<word:string,start:double,end:double,confidence:double>>>"
+
+
+def transcribe(files: DataFrame, recognizer: Recognizer, decode=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(segments, words, errors) of audio files (path, suffix, content), each decoded and recognised
+    once; the result is written, as both tables read it. ``call_id`` is the file's path. Times have three
+    decimals and confidences four; a segment's confidence is that of its words, see
+    ``timeline.segment_confidence``. A file that can't be decoded, or fails, is a row of ``errors``."""
+    ship(files.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, suffix, content in batch[["path", "suffix", "content"]].itertuples(index=False):
+                try:
+                    rows.append((path, [_segment(i, x) for i, x in enumerate(recognizer(audio.load(bytes(content), suffix, decode=decode), audio.RATE))], None))
+                except Exception as e:  # one bad file must not stop the others; it is reported
+                    rows.append((path, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["call_id", "segments", "error"])
+
+    heard = materialize(files.mapInPandas(run, f"call_id string, segments array<{SEGMENT}>, error string"), "heard")
+    rows = heard.select("call_id", F.explode("segments").alias("s"))
+    words = rows.select("call_id", "s.seg_id", F.posexplode("s.words").alias("word_idx", "w")).select("call_id", "seg_id", "word_idx", "w.*")
+    segments = timeline.segment_confidence(rows.select("call_id", "s.seg_id", "s.start", "s.end", "s.text", "s.avg_logprob"), words).drop("avg_logprob")
+    return segments.withColumn("speaker", F.lit(None).cast("string")), words, heard.where("error is not null").select("call_id", "error")
+
+
+def _segment(i: int, x: dict) -> dict:
+    words = [{"word": w["word"].strip(), "start": round(float(w["start"]), 3), "end": round(float(w["end"]), 3), "confidence": round(float(w["probability"]), 4)} for w in x.get("words") or []]
+    return {"seg_id": i, "start": round(float(x["start"]), 3), "end": round(float(x["end"]), 3), "text": x["text"].strip(), "avg_logprob": x.get("avg_logprob"), "words": words}
+
+
+def diarize(files: DataFrame, diarizer: Diarizer, decode=None) -> DataFrame:
+    """``call_id, turn_idx, speaker, start, end``: the speaker turns of audio files."""
+    ship(files.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, suffix, content in batch[["path", "suffix", "content"]].itertuples(index=False):
+                turns = diarizer(audio.load(bytes(content), suffix, decode=decode), audio.RATE)
+                rows += [(path, i, speaker, float(start), float(end)) for i, (speaker, start, end) in enumerate(turns)]
+            yield pd.DataFrame(rows, columns=["call_id", "turn_idx", "speaker", "start", "end"])
+
+    return files.mapInPandas(run, "call_id string, turn_idx int, speaker string, start double, end double")
+
+
+def status(**given: Callable | None) -> dict[str, str]:
+    """Which providers are in use, by the name of their function; the rules stand in for the others."""
+    return {name: "rules" if f is None else f"{f.__module__}:{f.__qualname__}" for name, f in given.items()}
+
+
 def model_type(label: str) -> str | None:
     """The type that a name model's label stands for."""
     name = label.upper().replace("-", "_")

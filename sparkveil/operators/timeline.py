@@ -90,32 +90,24 @@ def word_map(segments: DataFrame, words: DataFrame) -> DataFrame:
 
 def attach_tokens(spans: DataFrame, tokens: DataFrame) -> DataFrame:
     """``spans`` with the words that they touch: ``token_ids, time_start, time_end,
-    alignment_confidence, alignment_method, speakers``. A span without a word is ``unresolved``. Spans
-    are told apart by call_id, span_id and, where they have it, ``origin``."""
-    keys = [c for c in ("call_id", "span_id", "origin") if c in spans.columns]
+    alignment_confidence, alignment_method, speakers``. A span without a word is ``unresolved``. No two
+    spans agree in all columns."""
     s, t = spans.alias("s"), tokens.alias("t")
     touch = (F.col("s.call_id") == F.col("t.call_id")) & (F.col("t.char_start") < F.col("s.end")) & (F.col("s.start") < F.col("t.char_end"))
     named = F.when(F.col("t.speaker").isNotNull() & ~F.col("t.speaker").isin("", "UNKNOWN"), F.col("t.speaker"))
+    # Grouped by whole spans behind one join by call, which leaves nothing to shuffle or join again.
     hits = (
-        s.join(t, touch)
-        .groupBy(*[f"s.{k}" for k in keys])
+        s.join(t, touch, "left")
+        .groupBy(*[F.col(f"s.{c}").alias(c) for c in spans.columns])
         .agg(
             F.array_sort(F.collect_list("t.token_id")).alias("token_ids"),
             F.min("t.time_start").alias("time_start"),
             F.max("t.time_end").alias("time_end"),
-            F.round(F.avg("t.confidence"), 4).alias("alignment_confidence"),
+            F.coalesce(F.round(F.avg("t.confidence"), 4), F.lit(0.0)).alias("alignment_confidence"),
             F.array_sort(F.collect_set(named)).alias("speakers"),
         )
     )
-    out = spans.join(hits, keys, "left")
-    return out.withColumns(
-        {
-            "alignment_method": F.when(F.col("token_ids").isNull(), "unresolved").otherwise("whisper_word_tokens"),
-            "token_ids": F.coalesce("token_ids", F.array().cast("array<int>")),
-            "alignment_confidence": F.coalesce("alignment_confidence", F.lit(0.0)),
-            "speakers": F.coalesce("speakers", F.array().cast("array<string>")),
-        }
-    )
+    return hits.withColumn("alignment_method", F.when(F.size("token_ids") == 0, "unresolved").otherwise("whisper_word_tokens"))
 
 
 def assign_speakers(segments: DataFrame, turns: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,14 @@ from sparkveil.operators import privacy, recovery, rendering, timeline, understa
 from sparkveil.session import materialize
 
 
+def flag(raw: str) -> bool:
+    """Whether a setting says yes."""
+    low = raw.strip().lower()
+    if low not in ("1", "true", "yes", "on", "0", "false", "no", "off", ""):
+        raise ValueError(f"neither yes nor no: {raw!r}")
+    return low in ("1", "true", "yes", "on")
+
+
 @dataclass(frozen=True)
 class Options:
     """What an analysis hides and adds."""
@@ -26,6 +34,21 @@ class Options:
     conservative_guard: bool = True
     review: Callable | None = None
 
+    @classmethod
+    def from_env(cls, env: Mapping[str, str], prefix: str = "SPARKVEIL_") -> Options:
+        """Options from variables like ``SPARKVEIL_PROFILE``; those not given keep their default. Yes and
+        no are 1, true, yes, on and 0, false, no, off; types are separated by commas."""
+        made = {}
+        for f in fields(cls):
+            raw = env.get(prefix + f.name.upper())
+            if raw is None or f.name == "review":
+                continue
+            if f.name == "types":
+                made[f.name] = frozenset(x.strip() for x in raw.split(",") if x.strip())
+            else:
+                made[f.name] = flag(raw) if isinstance(f.default, bool) else type(f.default)(raw)
+        return cls(**made)
+
     def protect(self) -> dict:
         return {"profile": self.profile, "mode": self.mode, "types": self.types, "swears": self.swears, "ids": self.ids, "review": self.review}
 

@@ -2,6 +2,7 @@
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkveil.__main__ import main
@@ -64,3 +65,11 @@ def test_calls_and_fingerprint_commands(spark, tmp_path, capsys):
     assert main(["fingerprint", str(file), "--strict"]) == 0
     assert main(["fingerprint", str(file), "--strict", "--model", "asr=2"]) == 3
     assert main(["fingerprint", str(file), "--strict", "--model", "asr=2"]) == 0
+
+
+def test_options_from_variables():
+    o = Options.from_env({"SPARKVEIL_PROFILE": "high_recall", "SPARKVEIL_IDS": "Yes", "SPARKVEIL_SWEARS": "off", "SPARKVEIL_WINDOWS": "2", "SPARKVEIL_TYPES": "OTP, PAN", "OTHER": "1"})
+    assert (o.profile, o.ids, o.swears, o.windows, o.types, o.mode) == ("high_recall", True, False, 2, frozenset(["OTP", "PAN"]), "full")
+    assert Options.from_env({}) == Options()
+    with pytest.raises(ValueError, match="neither"):
+        Options.from_env({"SPARKVEIL_IDS": "maybe"})

@@ -54,3 +54,26 @@ def test_prototype_judge():
     low, high, none = judge(text, spans)
     assert low < 0.001 and high > 0.999 and none is None
     assert seen[2:] == ["The order is  <VALUE>", "my code is  <VALUE> ,"]
+
+
+def test_recognition_and_speakers(spark):
+    import numpy as np
+
+    from sparkveil.operators import timeline
+    from sparkveil.sources import audio
+
+    def recognize(x, rate):
+        if x.max() > 0.9:
+            raise RuntimeError("too loud")
+        return [{"start": 0, "end": 1.23456, "text": " hello there ", "words": [{"word": " hello", "start": 0, "end": 0.5, "probability": 0.8}, {"word": "there", "start": 0.5, "end": 1, "probability": 0.6}]}, {"start": 2, "end": 3, "text": "bye", "avg_logprob": -0.5}]
+
+    wav = lambda a: bytearray(audio.encode_wav(np.full(16_000, a, "float32"), 16_000))
+    files = spark.createDataFrame([("a", "wav", wav(0.1)), ("b", "wav", wav(0.99)), ("c", "mp3", bytearray(b"x"))], "path string, suffix string, content binary")
+    segments, words, errors = providers.transcribe(files, recognize)
+    assert [(r.call_id, r.seg_id, r.end, r.text, r.confidence) for r in segments.orderBy("seg_id").collect()] == [("a", 0, 1.235, "hello there", 0.7), ("a", 1, 3.0, "bye", 0.6065)]
+    assert [r.word for r in words.orderBy("word_idx").collect()] == ["hello", "there"]
+    assert {r.call_id: r.error.split(":")[0] for r in errors.collect()} == {"b": "RuntimeError", "c": "BadAudio"}
+    turns = providers.diarize(files.where("path = 'a'"), lambda x, rate: [("S0", 0, 1.5), ("S1", 1.5, 4)])
+    spoken = timeline.assign_speakers(segments, turns)
+    assert {r.seg_id: r.speaker for r in spoken.collect()} == {0: "S0", 1: "S1"} and timeline.word_map(spoken, words).count() == 2
+    assert providers.status(names=None, asr=recognize)["names"] == "rules"
