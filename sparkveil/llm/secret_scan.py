@@ -10,8 +10,6 @@ mandatory trigram scan every text.
 from __future__ import annotations
 
 import re
-import re._constants as sre
-import re._parser as sre_parser
 from dataclasses import dataclass
 from functools import reduce
 
@@ -72,38 +70,117 @@ def _of_strings(strings: list[str]):
     return _or(*[_and(*[s[i : i + 3] for i in range(len(s) - 2)]) for s in strings])
 
 
-def _strings(op, arg) -> list[str] | None:
+class _Pattern:
+    """A regular expression as nodes: ("text", the few strings a node can match, lower-cased), ("any",),
+    ("group", sequences, one for each branch) and ("times", least, most or None, sequence). It knows what
+    the rules use: literals and escapes, classes, groups, branches and quantifiers."""
+
+    SHORT = {"t": "\t", "n": "\n", "v": "\v", "f": "\f", "r": "\r"}
+
+    def __init__(self, pattern: str):
+        self.p, self.at = pattern, 0
+        self.branches = self._branches()
+        if self.at != len(pattern):
+            raise ValueError(f"unbalanced pattern {pattern!r}")
+
+    def _next(self, n: int = 1) -> str:
+        self.at += n
+        return self.p[self.at - n : self.at]
+
+    def _branches(self) -> list[list[tuple]]:
+        out = [self._sequence()]
+        while self.p[self.at : self.at + 1] == "|":
+            self.at += 1
+            out.append(self._sequence())
+        return out
+
+    def _sequence(self) -> list[tuple]:
+        nodes = []
+        while self.at < len(self.p) and self.p[self.at] not in "|)":
+            nodes.append(self._counted(self._atom()))
+        return nodes
+
+    def _counted(self, node: tuple) -> tuple:
+        m = re.compile(r"[?*+]|\{(\d+)(,?)(\d*)\}").match(self.p, self.at)
+        if not m:
+            return node
+        self.at = m.end()
+        if self.p[self.at : self.at + 1] in ("?", "+"):  # lazy or possessive: the same strings
+            self.at += 1
+        if m[1] is None:
+            least, most = {"?": (0, 1), "*": (0, None), "+": (1, None)}[m[0]]
+        else:
+            least, most = int(m[1]), int(m[3]) if m[3] else None if m[2] else int(m[1])
+        return ("times", least, most, [node])
+
+    def _atom(self) -> tuple:
+        c = self._next()
+        if c == "(":
+            m = re.compile(r"\?(?:[a-z]*:|P<\w+>)").match(self.p, self.at)
+            self.at = m.end() if m else self.at
+            if self.p[self.at : self.at + 1] == "?":
+                raise ValueError(f"look-around is not understood: {self.p!r}")
+            branches = self._branches()
+            if self._next() != ")":
+                raise ValueError(f"unbalanced pattern {self.p!r}")
+            return ("group", branches)
+        if c == "[":
+            return self._class()
+        if c in ".^$":
+            return ("any",)
+        return self._escape() if c == "\\" else ("text", [c.lower()])
+
+    def _escape(self) -> tuple:
+        c = self._next()
+        if c == "x":
+            return ("text", [chr(int(self._next(2), 16)).lower()])
+        if c in self.SHORT:
+            return ("text", [self.SHORT[c]])
+        return ("any",) if c.isalnum() else ("text", [c])
+
+    def _class(self) -> tuple:
+        negated, chars, known = self.p[self.at : self.at + 1] == "^", set(), True
+        self.at += negated
+        while True:
+            c = self._next()
+            if c == "]":
+                break
+            if not c:
+                raise ValueError(f"unbalanced pattern {self.p!r}")
+            node = self._escape() if c == "\\" else ("text", [c.lower()])
+            known = known and node[0] == "text" and not (self.p[self.at : self.at + 1] == "-" and self.p[self.at + 1 : self.at + 2] != "]")
+            chars |= set(node[1]) if node[0] == "text" else set()
+        return ("text", sorted(chars)) if known and not negated and len(chars) <= 5 else ("any",)
+
+
+def _strings(node: tuple) -> list[str] | None:
     """All the texts a node can match, lower-cased, if they are few."""
-    if op is sre.LITERAL:
-        return [chr(arg).lower()]
-    if op is sre.SUBPATTERN:
-        return _sequence_strings(arg[3])
-    if op is sre.BRANCH:
-        parts = [_sequence_strings(x) for x in arg[1]]
+    if node[0] == "text":
+        return node[1]
+    if node[0] == "group":
+        parts = [_sequence_strings(x) for x in node[1]]
         return None if any(p is None for p in parts) or sum(map(len, parts)) > _EXACT else [s for p in parts for s in p]
-    if op is sre.IN and all(x[0] is sre.LITERAL for x in arg) and len(arg) <= 5:
-        return sorted({chr(x[1]).lower() for x in arg})
-    if op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[:2] == (0, 1):
-        inner = _sequence_strings(arg[2])
+    if node[0] == "times" and node[1:3] == (0, 1):
+        inner = _sequence_strings(node[3])
         return None if inner is None else ["", *inner]
     return None
 
 
-def _sequence_strings(nodes) -> list[str] | None:
+def _sequence_strings(nodes: list[tuple]) -> list[str] | None:
     out = [""]
-    for op, arg in nodes:
-        more = _strings(op, arg)
+    for node in nodes:
+        more = _strings(node)
         if more is None or len(out) * len(more) > _EXACT:
             return None
         out = [a + b for a in out for b in more]
     return out
 
 
-def _query(nodes):
+def _query(nodes: list[tuple]):
     """The query of a sequence: what its runs of known strings ask for, and its other parts."""
     parts, run = [], [""]
-    for op, arg in nodes:
-        more = _strings(op, arg)
+    for node in nodes:
+        more = _strings(node)
         if more is not None and len(run) * len(more) <= _EXACT:
             run = [a + b for a in run for b in more]
             continue
@@ -111,19 +188,17 @@ def _query(nodes):
         run = [""]
         if more is not None:
             run = more
-        elif op is sre.SUBPATTERN:
-            parts.append(_query(arg[3]))
-        elif op is sre.BRANCH:
-            parts.append(_or(*[_query(x) for x in arg[1]]))
-        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] >= 1:
-            parts.append(_query(arg[2]))
+        elif node[0] == "group":
+            parts.append(_or(*[_query(x) for x in node[1]]))
+        elif node[0] == "times" and node[1] >= 1:
+            parts.append(_query(node[3]))
     return _and(*parts, _of_strings(run))
 
 
 def trigram_query(pattern: str):
     """What lower-case trigrams a text needs to match: True if nothing is mandatory. The strings are
     ASCII, and the index lower-cases the texts, so the case of the pattern doesn't matter."""
-    return _query(sre_parser.parse(pattern))
+    return _or(*[_query(x) for x in _Pattern(pattern).branches])
 
 
 def trigrams_of(query) -> list[str]:
