@@ -21,7 +21,7 @@ from sparkveil.functions import engine as E
 from sparkveil.functions import patterns as P
 from sparkveil.functions.engine import rx, says
 from sparkveil.operators import timeline
-from sparkveil.session import ship
+from sparkveil.session import by_key, ship
 
 WINDOW_PAD, WINDOW_EXTRA, MAX_WINDOWS, GUARD_CONFIDENCE = 0.20, 0.7, 4, 0.72
 #: A second decoding's and a later correction's time is padded by so many seconds before and behind.
@@ -117,7 +117,7 @@ def plan_recovery(texts: DataFrame, accepted: DataFrame, tokens: DataFrame, most
         for text, spans in batches:
             yield pd.Series([[dict(zip(("type", "s", "e", "reason", "source"), p)) for p in plan(t or "", [(x["type"], x["start"], x["end"]) for x in a])] for t, a in zip(text, spans)])
 
-    rows = _with_accepted(texts, accepted)
+    rows = _with_accepted(by_key(texts, "call_id"), accepted)
     places = rows.select("call_id", F.posexplode(plans("text", "spans")).alias("i", "p")).select("call_id", "i", "p.*")
     # A call has few places, and a word or segment few of them, so the join is no larger than the text.
     timed = _times(places.select("call_id", "i", "s", "e", "type", "reason", "source"), tokens, offsets, ["i", "s", "e", "type", "reason", "source"])

@@ -20,7 +20,7 @@ from sparkveil.functions import engine
 from sparkveil.functions import patterns as P
 from sparkveil.functions.scalars import normal_value
 from sparkveil.operators.understanding import says
-from sparkveil.session import ship
+from sparkveil.session import by_key, ship
 
 #: Seconds: the pad around a span, what an unsure alignment adds, and the gap that merging closes.
 PAD, LOW_PAD, LOW_BELOW, MERGE_GAP = 0.09, 0.06, 0.72, 0.06
@@ -38,8 +38,8 @@ def segment_offsets(segments: DataFrame) -> DataFrame:
 
 def call_text(segments: DataFrame) -> DataFrame:
     """``call_id, text``: the segments joined by spaces. A call's segments are one conversation, so
-    their number is bounded by its length."""
-    rows = segments.groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("seg_id", F.coalesce("text", F.lit("")).alias("text")))).alias("s"))
+    their number is bounded by its length. The texts are dealt out to all tasks for what follows."""
+    rows = by_key(segments, "call_id").groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("seg_id", F.coalesce("text", F.lit("")).alias("text")))).alias("s"))
     return rows.select("call_id", F.array_join(F.transform("s", lambda x: x["text"]), " ").alias("text"))
 
 

@@ -59,6 +59,13 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt out by a key to as many tasks as the cluster has cores, or shuffles are set to have.
+    For costly work behind a small shuffle, which would else be joined into one task."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see (``spark.checkpoint.dir``).
 
