@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkveil.llm.pretokens import Memo, chunks
-from sparkveil.session import ship
+from sparkveil.session import named, ship
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -204,8 +204,12 @@ def _on_workers(spark: SparkSession, path: str, pattern: str):
 
 
 def encode_column(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``df`` with the ids of each text as an array of integers in ``ids_col``; a null text counts as
-    empty. The other columns pass through unchanged."""
+    """``df`` with the ids of each text as an array of integers in ``ids_col``.
+
+    Defined cases: a null text counts as empty, with no ids; a text of any length gives one array;
+    repeated rows are returned as often as they came; an empty table gives an empty result; the other
+    columns, of any names, pass through unchanged, and one named ``ids_col`` is replaced.
+    """
     encoder = _on_workers(df.sparkSession, ranks_path, pattern)
 
     @F.pandas_udf("array<int>")
@@ -213,7 +217,7 @@ def encode_column(df: DataFrame, ranks_path: str, pattern: str, text_col: str =
         enc = encoder()
         return texts.map(lambda t: enc.encode(t or ""))
 
-    return df.withColumn(ids_col, ids(F.coalesce(F.col(text_col), F.lit(""))))
+    return df.withColumn(ids_col, ids(F.coalesce(named(text_col), F.lit(""))))
 
 
 def encoded_digests(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -233,7 +233,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     smallest id that links of at most 3 differing bits reach, itself included.
 
     Defined cases: a null text counts as empty; all texts without words have fingerprint 0 and are
-    linked like any other; a null id never becomes a component's id unless all its ids are null;
+    linked like any other; a text of any length is read whole, a chunk at a time; a null id never becomes a component's id unless all its ids are null;
     repeated rows are returned as often as they came; an empty table gives an empty result; other
     columns are ignored.
     """
@@ -246,7 +246,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, cap: int = CAP) -> DataFrame:
     """The rows of ``df`` without those whose component has a row that ranks before them, see
-    ``components.one_row_each``."""
+    ``components.one_row_each``; columns may have any names. Other cases are those of ``near_dedup``."""
     rows = materialize(_fingerprint_rows(df, id_col, text_col, width, seed), "fingerprints")
     members = rows.join(_rooted(rows, cap).select("fp", "root"), "fp").select("id", "key", "root")
     return one_row_each(df, members, id_col, text_col)
