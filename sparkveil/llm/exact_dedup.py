@@ -53,9 +53,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
 
     Of equal texts the row with the most code points in its original text stays, then the one with
     the smallest id; an id that is null ranks last. Defined cases: a null text counts as empty, and
-    empty texts are equal to each other; a text of any length is compared whole; rows repeated in full are members of one group and exactly
-    one of them is kept; an empty table gives an empty result; other columns are ignored, whatever
-    their names. ``hash_bits`` is a multiple of 4 and smaller only in tests that force collisions.
+    empty texts are equal to each other; a text of any length is compared whole; rows repeated in full
+    are members of one group and exactly one of them is kept; an empty table gives an empty result;
+    other columns are ignored, whatever their names. ``hash_bits`` is a multiple of 4 and smaller only in tests that force collisions.
     """
     rows = _digests(df, id_col, text_col, hash_bits)
     groups = (
