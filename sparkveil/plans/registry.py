@@ -10,7 +10,7 @@ from sparkveil.functions import patterns as P
 from sparkveil.functions.scalars import due_date, luhn_ok, normal_value
 from sparkveil.functions.spans import by_position, find, greedy, render
 from sparkveil.operators import evaluation, privacy, recovery, timeline, understanding
-from sparkveil.plans import analyze, calls, sentences  # noqa: F401, the last two register queries
+from sparkveil.plans import analyze, calls, sentences, services  # noqa: F401, the last three register queries
 from sparkveil.plans import transcripts as T
 from sparkveil.plans.register import ORACLE_SQL, QUERIES, query  # noqa: F401
 from sparkveil.session import ship, spread, table
