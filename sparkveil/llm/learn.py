@@ -142,7 +142,9 @@ def strings(docs: DataFrame, columns: tuple[str, ...], id_col: str = "doc_id") -
     return docs.select(named(id_col).cast("long").alias("id"), *[named(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
 
 
-def unlabelled(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...], id_col: str = "doc_id") -> DataFrame:
-    """All documents without a label, as ``id`` and ``columns``."""
-    known = labels.select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct()
-    return strings(docs, columns, id_col).where("id is not null").join(known, "id", "left_anti")
+def outside(docs: DataFrame, sample: list[int], columns: tuple[str, ...], id_col: str = "doc_id") -> DataFrame:
+    """All documents but those of a labelled sample, given by its ids, as ``id`` and ``columns``."""
+    spark = docs.sparkSession
+    known = spark.createDataFrame([(i,) for i in sample], "id long")
+    # As many rows as the sample's bound, so no text is shuffled.
+    return strings(docs, columns, id_col).join(F.broadcast(known), "id", "left_anti")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkveil.llm.learn import BoostedTrees, Isotonic, Logistic, held_out, labelled_sample, sigmoid, strings, unlabelled
+from sparkveil.llm.learn import BoostedTrees, Isotonic, Logistic, held_out, labelled_sample, outside, sigmoid, strings
 from sparkveil.session import materialize, ship
 
 #: Labelled documents that the model learns from, at most.
@@ -166,8 +166,8 @@ def co_train(x: np.ndarray, y: np.ndarray, picks: Picks | None, rounds: int = RO
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE, rounds: int = ROUNDS) -> QualityModel:
-    """Learn from at most ``most`` labelled documents, none held out, and from all unlabelled ones,
-    whose features are written once and scored in each round."""
+    """Learn from at most ``most`` labelled documents, none held out, and from all other documents as
+    unlabelled ones, whose features are written once and scored in each round."""
     ship(docs.sparkSession)
     columns = (text_col, "lang", "source")
     known = _views(labelled_sample(docs, labels, "quality", most, columns, id_col), "id long, label int")
@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return neutral
     picks = None
     if rounds:
-        pool = _views(unlabelled(docs, labels, columns, id_col), "id long").select(F.xxhash64("x").alias("same"), "x")
+        pool = _views(outside(docs, [r["id"] for r in own], columns, id_col), "id long").select(F.xxhash64("x").alias("same"), "x")
         pool = materialize(pool, "quality-pool")
         picks = lambda trees: confident(pool, trees)
     x = np.array([r["x"] for r in own], float).reshape(-1, TEXT + META)
