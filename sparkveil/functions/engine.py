@@ -103,6 +103,14 @@ class Reader:
         return [m.span() for m in rx(pattern).finditer(self.text) if m[0].strip()]
 
 
+#: Beginnings of words, lower-cased, of which a text must have one before a finder of a type can match.
+NEEDS = {
+    "TRANSACTION_ID": ("transaction", "txn"), "LOAN_ID": ("loan",), "CUSTOMER_ID": ("customer", "client", "borrower"), "APPLICATION_ID": ("application", "request"), "COMPLAINT_ID": ("complaint", "grievance", "ticket", "case"),
+    "PHONE": ("phone", "mobile", "contact", "call", "reach", "text", "message"), "CARD": ("card",), "PINCODE": ("pin", "postal", "zip"), "IFSC": ("ifsc",), "PASSPORT": ("passport",), "DRIVING_LICENSE": ("licen", "dl"),
+    "PAN": ("pan", "permanent"), "DOB": ("dob", "birth", "born"), "ADDRESS": ("address",), "HOME": ("live", "resid", "stay", "home", "find"), "DELIVERY": ("send", "deliver", "ship", "courier", "mail"),
+}
+
+
 # ---- checks of values ----
 
 
@@ -364,7 +372,7 @@ SHAPES = (
 
 
 def ifsc(reader: Reader) -> Iterator[Span]:
-    for s, e, canonical, evidence in ifsc_forms(reader.text):
+    for s, e, canonical, evidence in ifsc_forms(reader.text) if reader.has_digit or reader.mentions("zero", "oh") else ():
         confidence = 0.995 if says(reader.role(s, 88), P.CONTEXT["IFSC"]) else 0.91 if evidence == "ifsc_canonical" else 0.73
         yield Span("IFSC", s, e, reader.text[s:e], confidence, evidence, canonical, ai_review=confidence < 0.9)
 
@@ -432,18 +440,18 @@ def address_after(text: str, start: int, longest: int = 150) -> tuple[int, int]
     return (s, e) if e > s else None
 
 
-#: Label, longest address, least length, words and score, confidence, evidence, needs a model's view.
+#: Label, longest address, least length, words and score, confidence, evidence, needs a model's view, words it needs.
 _ADDRESSES = (
-    (P.ADDRESS_LABEL, 150, 5, 2, 3, 0.975, "structured_clause_address", False),
-    (P.ADDRESS_HOME, 130, 5, 0, 3, 0.83, "residential_phrase_address", True),
-    (P.ADDRESS_DELIVERY, 150, 8, 0, 4, 0.94, "delivery_destination_address", False),
+    (P.ADDRESS_LABEL, 150, 5, 2, 3, 0.975, "structured_clause_address", False, "ADDRESS"),
+    (P.ADDRESS_HOME, 130, 5, 0, 3, 0.83, "residential_phrase_address", True, "HOME"),
+    (P.ADDRESS_DELIVERY, 150, 8, 0, 4, 0.94, "delivery_destination_address", False, "DELIVERY"),
 )
 
 
 def addresses(reader: Reader) -> Iterator[Span]:
     text = reader.text
-    for pattern, longest, least, words, score, confidence, evidence, review in _ADDRESSES:
-        for m in rx(pattern).finditer(text):
+    for pattern, longest, least, words, score, confidence, evidence, review, needs in _ADDRESSES:
+        for m in rx(pattern).finditer(text) if reader.mentions(*NEEDS[needs]) else ():
             if pattern == P.ADDRESS_LABEL and (says(reader.before(m.start(), 42), P.ADDRESS_NOT_AFTER) or says(text[m.end() : m.end() + 48], P.ADDRESS_EXPLAINED)):
                 continue
             if found := address_after(text, m.end(), longest):
@@ -515,7 +523,7 @@ def raw_values(reader: Reader) -> Iterator[Span]:
     """Values that their owner names but that no shape fits, within hard limits of length."""
     text = reader.text
     for kind, pattern, confidence, evidence, chars, tokens in P.RAW_ASSIGN if reader.has_digit else ():
-        for m in rx(pattern).finditer(text):
+        for m in rx(pattern).finditer(text) if reader.mentions(*NEEDS[kind]) else ():
             if kind == "CARD" and says(text[max(0, m.start() - 32) : m.start()], P.RAW_CARD_TEST):
                 continue
             s = m.start("value")
@@ -566,7 +574,8 @@ _DICTATED = (
 
 def spoken(reader: Reader) -> Iterator[Span]:
     text = reader.text
-    for s, e, canonical in alnum_runs(text):
+    named = lambda kind: reader.mentions(*NEEDS[kind]) and says(text, P.CONTEXT[kind])
+    for s, e, canonical in alnum_runs(text) if any(named(kind) for kind, _ in _SPELLED) else ():
         left = reader.role(s, 100)
         for kind, evidence in _SPELLED:
             if says(left, P.CONTEXT[kind]) and re.fullmatch(P.CANONICAL[kind], canonical):
@@ -580,10 +589,10 @@ def spoken(reader: Reader) -> Iterator[Span]:
         left = reader.role(s, 90)
         if says(left, P.CONTEXT["UPI"]) or says(left, P.UPI_PAYMENT):
             yield Span("UPI", s, e, text[s:e], 0.96, "spoken_upi_normalized", canonical)
-    for s, e, iso in spoken_dates(text):
+    for s, e, iso in spoken_dates(text) if named("DOB") else ():
         if says(reader.role(s, 100), P.CONTEXT["DOB"]):
             yield Span("DOB", s, e, text[s:e], 0.96, "spoken_dob_normalized", iso)
-    for s, e, canonical in spoken_licenses(text):
+    for s, e, canonical in spoken_licenses(text) if named("DRIVING_LICENSE") else ():
         if says(reader.role(s, 110), P.CONTEXT["DRIVING_LICENSE"]):
             yield Span("DRIVING_LICENSE", s, e, text[s:e], 0.96, "spoken_driving_license_normalized", canonical)
     for m in rx(P.DIGIT_RUN).finditer(text):
@@ -669,9 +678,13 @@ def answer(kind: str, sentence: str, offset: int) -> Span | None:
     return other and Span(kind, base + other[0], base + other[1], tail[other[0] : other[1]], P.ANSWER_CONFIDENCE[kind], evidence, other[2], 4)
 
 
+#: What every answer begins with.
+_MAYBE_ANSWER = r"(?i)\b(?:mine|it|the\s+(?:number|code|value))\s+is\b|\bi\s+(?:received|got|have|use)\b"
+
+
 def answers(reader: Reader) -> Iterator[Span]:
     """A field asked for in one sentence may be answered in the next, and no later."""
-    spans = reader.sentences()
+    spans = reader.sentences() if says(reader.text, _MAYBE_ANSWER) else []
     for (a, b), (s, e) in zip(spans, spans[1:]):
         if not says(reader.text[s:e], P.ANSWER):
             continue
@@ -786,9 +799,9 @@ def detect(text: str, threshold: float = P.PROFILES["balanced"], review: Callabl
 
 
 def operational_ids(text: str) -> list[Span]:
-    found = []
+    found, reader = [], Reader(text)
     for kind, confidence, pattern in P.OPERATIONAL_IDS:
-        for m in rx(pattern).finditer(text):
+        for m in rx(pattern).finditer(text) if reader.mentions(*NEEDS[kind]) else ():
             value = m[1].rstrip(".,:;#")
             if len(value) >= 5 and value.casefold() not in P.OPERATIONAL_STOP and not (value.isdigit() and len(value) < 6):
                 found.append(Span(kind, m.start(1), m.start(1) + len(value), value, confidence, "explicit_financial_identifier_context", method="deterministic"))
@@ -811,6 +824,8 @@ def swear_pattern(variant: str) -> str:
 
 #: Look-alikes as one letter each, and the marks and spaces that a pattern allows between letters left out.
 _SAME = str.maketrans({c: letter for letter, cls in P.LEET.items() for c in cls[1:-1]} | {"l": "i", "1": "i", "|": "i", "!": "i"} | {c: None for c in "*#._- \t\n\r\x0b\x0c"})
+#: What every censored or spaced word begins with.
+_MAYBE_CENSORED = r"(?i)(?<!\w)[fsb](?:[*#._-]+[kth]|\s+[uhi]\s)"
 SWEARS = [(canonical, severity, variant, swear_pattern(variant)) for canonical, (severity, variants) in P.PROFANITY.items() for variant in variants]
 
 
@@ -822,7 +837,7 @@ def profanity(text: str, least: int = 1) -> list[tuple[Span, int]]:
             exact = m[0].casefold() == variant
             confidence = 0.99 if exact else 0.95 if re.search("[a-z]", m[0].casefold()) else 0.92
             found.append((severity, Span("PROFANITY", m.start(), m.end(), m[0], confidence, "lexical_exact" if exact else "lexical_variant_or_obfuscation", canonical)))
-    for canonical, severity, pattern in P.CENSORED:
+    for canonical, severity, pattern in P.CENSORED if says(text, _MAYBE_CENSORED) else ():
         for m in rx(pattern).finditer(text) if severity >= least else ():
             found.append((severity, Span("PROFANITY", m.start(), m.end(), m[0], 0.94, "censored_or_spaced_obfuscation", canonical)))
     level = {id(x): s for s, x in found}
