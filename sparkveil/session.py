@@ -110,6 +110,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def forget(*tables: DataFrame) -> None:
+    """Remove tables of ``materialize`` that nothing reads any more."""
+    for df in tables:
+        drop_path(df.sparkSession, df._sparkveil_path)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     sc = spark.sparkContext
     p = sc._jvm.org.apache.hadoop.fs.Path(path)
