@@ -58,6 +58,8 @@ class Reader:
     def __init__(self, text: str):
         self.text, self.folded = text, text.casefold()
         self.has_digit, self.has_at = says(text, r"\d"), "@" in text
+        self._fields: dict[tuple[int, int, int], tuple[int, int]] = {}
+        self._roles: dict[tuple[int, int], str] = {}
 
     def mentions(self, *words: str) -> bool:
         return any(w in self.folded for w in words)
@@ -75,6 +77,12 @@ class Reader:
 
     def field(self, start: int, end: int, radius: int) -> tuple[int, int]:
         """The clause, cut at the labels of the fields around."""
+        key = start, end, radius
+        if key not in self._fields:
+            self._fields[key] = self._field(*key)
+        return self._fields[key]
+
+    def _field(self, start: int, end: int, radius: int) -> tuple[int, int]:
         low, high = self.clause(start, end, radius)
         begin, stop = low, high
         for m in rx(P.FIELD_SPLIT).finditer(self.text[low:high]):
@@ -86,6 +94,13 @@ class Reader:
         return begin, stop
 
     def role(self, start: int, radius: int) -> str:
+        """What stands before a position since the role of the clause last changed."""
+        key = start, radius
+        if key not in self._roles:
+            self._roles[key] = self._role(*key)
+        return self._roles[key]
+
+    def _role(self, start: int, radius: int) -> str:
         low, _ = self.field(start, start, max(radius, 150))
         left = self.text[max(low, start - radius) : start]
         cut = max((m.end() for p in (P.ROLE_RESET, P.DOC_RESET) for m in rx(p).finditer(left)), default=0)
@@ -826,14 +841,14 @@ def swear_pattern(variant: str) -> str:
 _SAME = str.maketrans({c: letter for letter, cls in P.LEET.items() for c in cls[1:-1]} | {"l": "i", "1": "i", "|": "i", "!": "i"} | {c: None for c in "*#._- \t\n\r\x0b\x0c"})
 #: What every censored or spaced word begins with.
 _MAYBE_CENSORED = r"(?i)(?<!\w)[fsb](?:[*#._-]+[kth]|\s+[uhi]\s)"
-SWEARS = [(canonical, severity, variant, swear_pattern(variant)) for canonical, (severity, variants) in P.PROFANITY.items() for variant in variants]
+SWEARS = [(canonical, severity, variant, variant.translate(_SAME), swear_pattern(variant)) for canonical, (severity, variants) in P.PROFANITY.items() for variant in variants]
 
 
 def profanity(text: str, least: int = 1) -> list[tuple[Span, int]]:
     """Spans (type PROFANITY, the canonical word in ``canonical``) with their severity."""
     found, plain = [], "".join(text.casefold().translate(_SAME).split())
-    for canonical, severity, variant, pattern in SWEARS:
-        for m in rx(pattern).finditer(text) if severity >= least and variant.translate(_SAME) in plain else ():
+    for canonical, severity, variant, letters, pattern in SWEARS:
+        for m in rx(pattern).finditer(text) if severity >= least and letters in plain else ():
             exact = m[0].casefold() == variant
             confidence = 0.99 if exact else 0.95 if re.search("[a-z]", m[0].casefold()) else 0.92
             found.append((severity, Span("PROFANITY", m.start(), m.end(), m[0], confidence, "lexical_exact" if exact else "lexical_variant_or_obfuscation", canonical)))
