@@ -64,28 +64,42 @@ def word_map(segments: DataFrame, words: DataFrame) -> DataFrame:
     """``call_id, token_id, seg_id, word_idx, speaker, char_start, char_end, time_start, time_end,
     confidence``: each word's place in the call's text and time.
 
-    Words are placed one after another inside a segment, which is sequential, so a segment's words
-    travel as one array through an Arrow function; numbering and offsets are windows.
+    Words are placed one after another inside a segment, which is sequential. So a call's segments and
+    words, which are as long as the call, meet in one row, behind one shuffle of either side, and are
+    numbered there.
     """
     ship(segments.sparkSession)
 
-    @pandas_udf("array<struct<s:int,e:int>>")
+    @pandas_udf("array<struct<i:int,s:int,e:int>>")
     def place(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, lists in batches:
-            yield pd.Series([[None if p is None else {"s": p[0], "e": p[1]} for p in place_words(t or "", list(w))] for t, w in zip(texts, lists)])
-
-    grouped = words.groupBy("call_id", "seg_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", "word", "start", "end", "confidence"))).alias("w"))
-    rows = segment_offsets(segments).join(grouped, ["call_id", "seg_id"])
-    rows = rows.withColumn("p", place("text", F.transform("w", lambda x: F.coalesce(x["word"], F.lit("")))))
-    rows = rows.select("call_id", "seg_id", "speaker", "char_start", F.col("start").alias("seg_start"), F.col("end").alias("seg_end"), F.explode(F.arrays_zip("w", "p")).alias("x")).where("x.p is not null")
-    order = Window.partitionBy("call_id").orderBy("seg_id", "word_idx")
-    begin = F.coalesce("x.w.start", "seg_start", F.lit(0.0))
-    rows = rows.select(
-        "call_id", "seg_id", F.col("x.w.word_idx").alias("word_idx"), "speaker",
-        (F.col("char_start") + F.col("x.p.s")).alias("char_start"), (F.col("char_start") + F.col("x.p.e")).alias("char_end"),
-        begin.alias("time_start"), F.coalesce("x.w.end", "seg_end", begin).alias("time_end"), F.coalesce("x.w.confidence", F.lit(0.0)).alias("confidence"),
+        for parts, lists in batches:
+            yield pd.Series([_placed(s, w) for s, w in zip(parts, lists)])
+
+    text = F.coalesce("text", F.lit("")).alias("text")
+    parts = by_key(segments, "call_id").groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("seg_id", text, "start", "end", "speaker"))).alias("s"))
+    spoken = by_key(words, "call_id").groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("seg_id", "word_idx", "word", "start", "end", "confidence"))).alias("w"))
+    small = lambda xs, *names: F.transform(xs, lambda x: F.struct(*[x[n].alias(n) for n in names]))
+    rows = parts.join(spoken, "call_id").withColumn("p", place(small("s", "seg_id", "text"), small("w", "seg_id", "word")))
+    rows = rows.select("call_id", "s", F.posexplode(F.filter(F.arrays_zip("w", "p"), lambda x: x["p"].isNotNull())).alias("token_id", "x")).withColumn("g", F.get("s", F.col("x.p.i")))
+    begin = F.coalesce("x.w.start", "g.start", F.lit(0.0))
+    return rows.select(
+        "call_id", F.col("x.w.seg_id").alias("seg_id"), F.col("x.w.word_idx").alias("word_idx"), "g.speaker", F.col("x.p.s").alias("char_start"), F.col("x.p.e").alias("char_end"),
+        begin.alias("time_start"), F.coalesce("x.w.end", "g.end", begin).alias("time_end"), F.coalesce("x.w.confidence", F.lit(0.0)).alias("confidence"), "token_id",
     )
-    return rows.withColumn("token_id", (F.row_number().over(order) - 1).cast("int"))
+
+
+def _placed(segments: list[dict], words: list[dict]) -> list[dict | None]:
+    """For each word of a call the number of its segment and its range in the call's text; both lists
+    are in order, and words of no segment have no place."""
+    by_segment: dict[int, list[str]] = {}
+    for w in words:
+        by_segment.setdefault(w["seg_id"], []).append(w["word"] or "")
+    out, at = {}, 0
+    for i, s in enumerate(segments):
+        found = place_words(s["text"], by_segment.get(s["seg_id"], []))
+        out[s["seg_id"]] = iter([None if p is None else {"i": i, "s": at + p[0], "e": at + p[1]} for p in found])
+        at += len(s["text"]) + 1
+    return [next(out[w["seg_id"]], None) if w["seg_id"] in out else None for w in words]
 
 
 def attach_tokens(spans: DataFrame, tokens: DataFrame) -> DataFrame:
