@@ -72,6 +72,8 @@ def with_models(semantic: Judge | None = None, names: Judge | None = None) -> Ca
     return review
 
 
+#: Seconds that a window must have to be heard again.
+SHORTEST = 0.05
 SEGMENT = "struct<seg_id:int,start:double,end:double,text:string,avg_logprob:double,words:array<struct<word:string,start:double,end:double,confidence:double>>>"
 
 
@@ -104,6 +106,40 @@ def _segment(i: int, x: dict) -> dict:
     return {"seg_id": i, "start": round(float(x["start"]), 3), "end": round(float(x["end"]), 3), "text": x["text"].strip(), "avg_logprob": x.get("avg_logprob"), "words": words}
 
 
+def decode_windows(windows: DataFrame, files: DataFrame, recognizer: Recognizer, decode=None) -> DataFrame:
+    """``call_id, rank, text, words, error``: the second decoding of windows (call_id, rank, time_start,
+    time_end) for ``recovery.recover``, words in the call's time. ``files`` (path, suffix, content) have
+    the call_id as their path. A call's audio is loaded once for all of its windows, which are few."""
+    ship(files.sparkSession)
+    kind = "call_id string, rank int, text string, words array<struct<word:string,start:double,end:double,confidence:double>>, error string"
+
+    def again(x: np.ndarray, low: float, high: float) -> tuple[str, list[dict], str | None]:
+        part = x[max(0, math.floor(low * audio.RATE)) : min(len(x), math.ceil(high * audio.RATE))]
+        if len(part) < SHORTEST * audio.RATE:
+            return "", [], "window too short"
+        try:
+            heard = [_segment(i, s) for i, s in enumerate(recognizer(part, audio.RATE))]
+        except Exception as e:  # the window stays guarded; the reason is reported
+            return "", [], f"{type(e).__name__}: {e}"
+        words = [w | {"start": round(low + w["start"], 3), "end": round(low + w["end"], 3)} for s in heard for w in s["words"]]
+        return " ".join(s["text"] for s in heard).strip(), words, None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, suffix, content, asked in batch[["path", "suffix", "content", "w"]].itertuples(index=False):
+                try:
+                    x = audio.load(bytes(content), suffix, decode=decode)
+                except audio.BadAudio as e:
+                    rows += [(path, int(w["rank"]), "", [], f"BadAudio: {e}") for w in asked]
+                    continue
+                rows += [(path, int(w["rank"]), *again(x, w["time_start"], w["time_end"])) for w in asked]
+            yield pd.DataFrame(rows, columns=["call_id", "rank", "text", "words", "error"])
+
+    asked = windows.groupBy(F.col("call_id").cast("string").alias("path")).agg(F.collect_list(F.struct("rank", "time_start", "time_end")).alias("w"))
+    return files.join(asked, "path").mapInPandas(run, kind)
+
+
 def diarize(files: DataFrame, diarizer: Diarizer, decode=None) -> DataFrame:
     """``call_id, turn_idx, speaker, start, end``: the speaker turns of audio files."""
     ship(files.sparkSession)

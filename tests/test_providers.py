@@ -77,3 +77,23 @@ def test_recognition_and_speakers(spark):
     spoken = timeline.assign_speakers(segments, turns)
     assert {r.seg_id: r.speaker for r in spoken.collect()} == {0: "S0", 1: "S1"} and timeline.word_map(spoken, words).count() == 2
     assert providers.status(names=None, asr=recognize)["names"] == "rules"
+
+
+def test_windows_are_heard_again(spark):
+    import numpy as np
+
+    from sparkveil.sources import audio
+
+    def again(x, rate):
+        if len(x) < rate:
+            raise RuntimeError("too short")
+        return [{"start": 0, "end": len(x) / rate, "text": f"it is {391 if x.max() > 0.4 else 0}", "words": [{"word": "391", "start": 0.25, "end": 0.5, "probability": 0.8}]}]
+
+    wave = np.zeros(64_000, "float32")
+    wave[32_000:] = 0.5
+    files = spark.createDataFrame([("a", "wav", bytearray(audio.encode_wav(wave, 16_000))), ("b", "wav", bytearray(b"junk")), ("c", "wav", bytearray(b""))], "path string, suffix string, content binary")
+    windows = spark.createDataFrame([("a", 1, 2.0, 3.5), ("a", 2, 0.0, 1.5), ("a", 3, 3.0, 3.5), ("a", 4, 9.0, 9.5), ("b", 1, 0.0, 1.0)], "call_id string, rank int, time_start double, time_end double")
+    out = {(r.call_id, r["rank"]): r for r in providers.decode_windows(windows, files, again).collect()}
+    assert len(out) == 5 and out["a", 3].error == "RuntimeError: too short" and out["a", 4].error == "window too short"
+    assert out["a", 1].text == "it is 391" and out["a", 2].text == "it is 0"
+    assert (out["a", 1].words[0].start, out["a", 1].words[0].end) == (2.25, 2.5) and out["b", 1].error.startswith("BadAudio")
