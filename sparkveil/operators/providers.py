@@ -19,7 +19,8 @@ from pyspark.sql.functions import pandas_udf
 
 from sparkveil.functions import patterns as P
 from sparkveil.functions.engine import Reader, Span, rx
-from sparkveil.operators import timeline
+from sparkveil.functions.spans import let
+from sparkveil.operators import evaluation, timeline
 from sparkveil.session import materialize, ship
 from sparkveil.sources import audio
 
@@ -253,6 +254,24 @@ def rank_labels(scores: Column, top: int = 3) -> Column:
     return F.struct(F.get(best, F.lit(0))["label"].alias("label"), F.get(best, F.lit(0))["score"].alias("confidence"), (F.get(best, F.lit(0))["score"] - F.coalesce(F.get(best, F.lit(1))["score"], F.lit(0.0))).alias("runner_up_margin"), F.transform(F.slice(best, 2, top), lambda x: x["label"]).alias("alternatives"))
 
 
+def utterance(vector: Column, intents: dict[str, list[list[float]]], tone: tuple[list[list[float]], list[list[float]]]) -> Column:
+    """``intent`` (label, confidence, runner_up_margin, alternatives with scores) and ``abusive_tone``
+    (score, level) of a text's vector. An intent's examples count for it and against all others; the
+    confidence of the best takes its lead into account. Of equal scores the last label by name is first."""
+    others = lambda label: [v for k, vs in intents.items() if k != label for v in vs]
+    scores = F.array(*[F.struct(evaluation.prototype_score(vector, vs, others(label)).alias("score"), F.lit(label).alias("label")) for label, vs in intents.items()])
+
+    def ranked(best: Column) -> Column:
+        top, second = best[0]["score"], F.coalesce(F.get(best, F.lit(1))["score"], F.lit(0.0))
+        apart = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 + (top - second)))
+        confidence = F.round(F.greatest(F.lit(0.45), F.least(F.lit(0.97), 0.58 * top + 0.42 * apart)), 4)
+        more = F.transform(F.slice(best, 2, 3), lambda x: F.struct(x["label"].alias("label"), x["score"].alias("score")))
+        return F.struct(best[0]["label"].alias("label"), confidence.alias("confidence"), F.round(top - second, 4).alias("runner_up_margin"), more.alias("alternatives"))
+
+    abuse = evaluation.prototype_score(vector, *tone)
+    return F.struct(let(F.reverse(F.array_sort(scores)), ranked).alias("intent"), let(abuse, lambda s: F.struct(s.alias("score"), tone_level(s).alias("level"))).alias("abusive_tone"))
+
+
 def tone_level(score: Column) -> Column:
     """The level of an abusive-tone score; without one it was not run."""
     return F.when(score.isNull(), "not_run").when(score >= 0.78, "high").when(score >= 0.60, "medium").otherwise("low")

@@ -160,13 +160,17 @@ def intent(text: Column) -> Column:
     return let(low, hits)
 
 
-def arbitrate_intent(rule: Column, model: Column) -> Column:
+def arbitrate_intent(rule: Column, model: Column, zero_shot: Column | None = None) -> Column:
     """A rule's and a model's intent (struct label, confidence; null without a model): agreement is
-    stronger than either, two rule hits beat an unsure model, else the model's stands."""
+    stronger than either, two rule hits beat an unsure model, else the model's stands. Without a model
+    a zero-shot classifier's intent, if there is one, stands for the rule's."""
     agreed = F.least(F.lit(0.98), 0.6 * model["confidence"] + 0.4 * rule["confidence"] + 0.05)
     made = lambda label, confidence, method: F.struct(label.alias("label"), confidence.cast("double").alias("confidence"), F.lit(method).alias("method"), rule["rule_hits"].alias("rule_hits"))
+    alone = made(rule["label"], rule["confidence"], "context_rules")
+    if zero_shot is not None:
+        alone = F.when(zero_shot.isNull(), alone).otherwise(made(zero_shot["label"], F.round(zero_shot["confidence"], 4), "zero_shot"))
     return (
-        F.when(model.isNull(), made(rule["label"], rule["confidence"], "context_rules"))
+        F.when(model.isNull(), alone)
         .when((rule["rule_hits"] > 0) & (rule["label"] == model["label"]), made(model["label"], F.round(agreed, 4), "semantic+rule_agreement"))
         .when((rule["rule_hits"] >= 2) & (model["confidence"] < 0.68), made(rule["label"], rule["confidence"], "strong_rules_over_weak_semantic"))
         .otherwise(made(model["label"], model["confidence"], "semantic"))

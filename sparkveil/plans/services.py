@@ -200,3 +200,32 @@ def model_tokens(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("call_id"), grouped("c_custkey").alias("g"))
     names = F.transform("g", lambda x: F.concat(x["type"], F.lit(":"), x["start"].cast("string"), F.lit("-"), x["end"].cast("string")))
     return rows.select("call_id", F.size("g").alias("n"), F.array_join(names, ",").alias("found"))
+
+
+@query("""WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 5), c AS (SELECT v.vec_id, p.vec_id AS k, list_cosine_similarity(v.embedding::DOUBLE[], p.e) AS c FROM embeddings v CROSS JOIN p),
+s AS (SELECT a.vec_id, a.k, round(1 / (1 + exp(-10 * (a.c - max(b.c)))), 4) AS score FROM c a JOIN c b ON b.vec_id = a.vec_id AND b.k != a.k AND b.k < 4 WHERE a.k < 4 GROUP BY a.vec_id, a.k, a.c),
+r AS (SELECT vec_id, list({score: score, k: k} ORDER BY score DESC, k DESC) AS l FROM s GROUP BY vec_id),
+t AS (SELECT a.vec_id, round(1 / (1 + exp(-10 * (a.c - b.c))), 4) AS tone FROM c a JOIN c b ON b.vec_id = a.vec_id WHERE a.k = 4 AND b.k = 0)
+SELECT r.vec_id, concat('intent ', l[1].k) AS label, greatest(0.45, least(0.97, 0.58 * l[1].score + 0.42 * least(1, greatest(0, 0.5 + (l[1].score - l[2].score))))) > 0.7 AS sure, round(l[1].score - l[2].score, 4) AS runner_up_margin, concat('intent ', l[2].k) AS second,
+  tone, CASE WHEN tone >= 0.78 THEN 'high' WHEN tone >= 0.6 THEN 'medium' ELSE 'low' END AS level FROM r JOIN t ON t.vec_id = r.vec_id""")
+def utterance_scores(spark, sf_dir):
+    """Intents and tone of vectors, from made examples."""
+    emb = table(spark, sf_dir, "embeddings")
+    known = {r["vec_id"]: list(r["embedding"]) for r in emb.where("vec_id < 5").collect()}  # five examples
+    rows = emb.select("vec_id", providers.utterance(F.col("embedding"), {f"intent {i}": [known[i]] for i in range(4)}, ([known[4]], [known[0]])).alias("u"))
+    return rows.select("vec_id", "u.intent.label", (F.col("u.intent.confidence") > 0.7).alias("sure"), "u.intent.runner_up_margin", F.col("u.intent.alternatives")[0]["label"].alias("second"), F.col("u.abusive_tone.score").alias("tone"), "u.abusive_tone.level")
+
+
+@query("""SELECT c_custkey AS id, ['payment commitment', 'fraud report', 'payment commitment', 'loan enquiry', 'general customer support'][1 + c_custkey % 5] AS label, ['semantic+rule_agreement', 'semantic', 'strong_rules_over_weak_semantic', 'zero_shot', 'context_rules'][1 + c_custkey % 5] AS method,
+  [0.83, 0.9, 0.84, 0.7, 0.5][1 + c_custkey % 5]::DOUBLE AS confidence FROM customer""")
+def intent_arbitration(spark, sf_dir):
+    """A rule's intent against a semantic model's, and a zero-shot classifier's where there is none."""
+    from sparkveil.operators import understanding
+
+    texts = ["I will pay.", "I will pay.", "I will pay, pay tomorrow.", "Hello.", "Hello."]
+    rows = said(spark, sf_dir, by_key([(t, []) for t in texts])).withColumn("k", F.col("call_id") % 5)
+    made_ = lambda label, p: F.struct(F.lit(label).alias("label"), F.lit(p).alias("confidence"))
+    model = F.when(F.col("k") == 0, made_("payment commitment", 0.8)).when(F.col("k") == 1, made_("fraud report", 0.9)).when(F.col("k") == 2, made_("fraud report", 0.6))
+    zero = F.when(F.col("k") == 3, made_("loan enquiry", 0.7))
+    out = rows.select("call_id", understanding.arbitrate_intent(understanding.intent(F.col("text")), model, zero).alias("i"))
+    return out.select(F.col("call_id").alias("id"), "i.label", "i.method", F.round("i.confidence", 4).alias("confidence"))
