@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkveil.llm.pretokens import Memo, chunks
-from sparkveil.session import named, ship
+from sparkveil.session import named, ship, sliced
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -232,7 +232,7 @@ def encoded_digests(df: DataFrame, ranks_path: str, pattern: str, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder()
-        for batch in batches:
+        for batch in sliced(batches):
             n, ids, decoded = [], [], []
             for x in batch.column(1):
                 data = enc.encode_bytes(x.as_py() or "")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkveil.session import ship
+from sparkveil.session import ship, sliced
 
 #: Boxes that only hold boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex"}
@@ -339,7 +339,7 @@ def media_columns(df: DataFrame, content_col: str, id_col: str) -> DataFrame:
     names = ("codec", "handler", "timescale", "duration", "n_samples", "keyframes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [_media_row(x.as_py()) for x in batch.column(1)]
             best = [_main(r[0]) for r in rows]
             cols = [pa.array([t and t[n] for t in best], _MEDIA_TYPES[n]) for n in names]
@@ -394,7 +394,7 @@ def stored_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     types = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]] for x in DIGESTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [media_digests(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]], ["id", *names])
 

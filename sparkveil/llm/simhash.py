@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkveil.llm.components import connected_components, one_row_each, row_key
-from sparkveil.session import materialize, ship
+from sparkveil.session import materialize, ship, sliced
 
 RADIUS, BYTES = 3, 8
 #: Distinct fingerprints of one key that are compared at once.
@@ -99,7 +99,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             fps = np.fromiter((fingerprint(x.as_py(), width, seed) for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
@@ -112,7 +112,7 @@ def _fingerprint_rows(df: DataFrame, id_col: str, text_col: str, width: int, see
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             fps = np.fromiter((fingerprint(x.as_py(), width, seed) for x in batch.column(2)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["id", "key", "fp"])
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkveil.llm.pretokens import Memo, chunks
-from sparkveil.session import materialize, path_exists, ship
+from sparkveil.session import materialize, path_exists, ship, sliced
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 
@@ -124,7 +124,7 @@ def token_counts(df: DataFrame, tokenizer_path: str, cache_path: str, limit: int
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(version, tokenizer_path, shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             n = [count(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array([version] * len(n), pa.string()), batch.column(0), pa.array(n, pa.int64())], ["tokenizer", "digest", "n_tokens"])
 
