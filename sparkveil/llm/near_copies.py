@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from sparkveil.llm import simhash
 from sparkveil.llm.components import connected_components, one_row_each, row_key
-from sparkveil.session import materialize, ship
+from sparkveil.session import forget, materialize, ship, sliced
 
 WIDTH = 5
 #: Similarity of at least 4/5.
@@ -76,7 +76,7 @@ def _sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
     """``id, key, node, proof, n, fp, bands`` for every row: its class is ``node``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = [sketch(x.as_py(), width) for x in batch.column(2)]
             node, proof = ([xxhash.xxh64_intdigest(s.tobytes(), seed) for s, _ in made] for seed in (0, 1))
             n = pa.array([len(s) for s, _ in made], pa.int64())
@@ -91,7 +91,7 @@ def _sets(df: DataFrame, wanted: DataFrame, text_col: str, width: int) -> DataFr
     """``node, hashes`` (binary) of the classes in ``wanted`` (node, key of one of its texts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [sketch(x.as_py(), width)[0].tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
 
@@ -204,7 +204,7 @@ def _across(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 def _keys(classes: DataFrame) -> DataFrame:
     """``key, node, n, band, mass, members`` of the keys that classes share, one for each set of
-    members. Band 0 are equal fingerprints, and links of ``simhash`` between a class of either."""
+    members, written. Band 0 are equal fingerprints, and links of ``simhash`` between a class of either."""
     worded = classes.where("n > 0")
     own = worded.select("node", "n", F.posexplode(F.concat(F.array(F.xxhash64(F.lit("fp"), "fp")), "bands")).alias("band", "key"))
     of = materialize(worded.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("x")).select("fp", "x.node", "x.n"), "near-fingerprints")
@@ -213,7 +213,9 @@ def _keys(classes: DataFrame) -> DataFrame:
     who = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"who{i}") for i in (1, 2)]
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("band").alias("band"), F.sum("n").alias("mass"), *who).where("members > 1")
     chosen = shared.groupBy("members", "mass", "who1", "who2").agg(F.min(F.struct("band", "key")).alias("k")).select("k.key", "k.band", "mass", "members")
-    return keyed.drop("band").join(chosen, "key")
+    rows = materialize(keyed.drop("band").join(chosen, "key"), "near-keys")
+    forget(of)
+    return rows
 
 
 def _roots(df: DataFrame, sketches: DataFrame, text_col: str, width: int, cap: int) -> DataFrame:
@@ -222,15 +224,16 @@ def _roots(df: DataFrame, sketches: DataFrame, text_col: str, width: int, cap: i
     classes = materialize(classes, "near-classes")
     if not classes.where("low != high").isEmpty():
         raise ValueError("different shingle sets share a hash")
-    rows = materialize(_keys(classes), "near-keys")
+    rows = _keys(classes)
     wanted = rows.select("node").distinct().join(classes.select("node", F.col("text").alias("key")), "node")
     sets = materialize(_sets(df, wanted, text_col, width), "near-sets")
-    first = connected_components(_links(_inside(rows, cap), sets))
-    rows = _with_roots(rows, first)
-    keys = materialize(_open_keys(rows, cap), "near-open")
-    if keys.isEmpty():
-        return first
-    return connected_components(first.toDF("a", "b").unionByName(_links(_across(rows, keys), sets)))
+    found = connected_components(_links(_inside(rows, cap), sets))
+    left = _with_roots(rows, found)
+    keys = materialize(_open_keys(left, cap), "near-open")
+    if not keys.isEmpty():
+        found = connected_components(found.toDF("a", "b").unionByName(_links(_across(left, keys), sets)))
+    forget(classes, rows, sets, keys)
+    return found
 
 
 def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkveil.llm.learn import BoostedTrees, Isotonic, Logistic, held_out, labelled_sample, outside, sigmoid, strings
-from sparkveil.session import materialize, ship
+from sparkveil.session import forget, materialize, ship, sliced
 
 #: Labelled documents that the model learns from, at most.
 SAMPLE = 6000
@@ -72,7 +72,7 @@ def _views(rows: DataFrame, keys: str) -> DataFrame:
     names = [k.split()[0] for k in keys.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             k = len(names)
             x = _features(*(batch.column(k + i).to_pylist() for i in range(3)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(list(x), pa.list_(pa.float64()))], [*names, "x"])
@@ -111,7 +111,7 @@ def confident(pool: DataFrame, trees: list[BoostedTrees], picks: int = PICKS) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[tuple[int, int], dict[int, tuple[float, list[float]]]] = {(v, c): {} for v in (0, 1) for c in (0, 1)}
-        for batch in batches:
+        for batch in sliced(batches):
             same = batch.column(0).to_pylist()
             x = np.asarray(batch.column(1).flatten()).reshape(-1, TEXT + META)
             for view in (0, 1):
@@ -135,6 +135,7 @@ def confident(pool: DataFrame, trees: list[BoostedTrees], picks: int = PICKS) ->
         for label in (0, 1):
             rows = made.where((F.col("view") == view) & (F.col("label") == label)).orderBy(F.desc("sure"), "same").limit(picks).collect()
             found[view, label] = [(r["same"], np.array(r["x"])) for r in rows]
+    forget(made)
     return found
 
 
@@ -177,13 +178,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         neutral = QualityModel([BoostedTrees(), BoostedTrees()], [Isotonic().fit(none, none), Isotonic().fit(none, none)], Logistic())
         neutral.combination.w = np.zeros(3)
         return neutral
-    picks = None
+    pool = picks = None
     if rounds:
         pool = _views(outside(docs, [r["id"] for r in own], columns, id_col), "id long").select(F.xxhash64("x").alias("same"), "x")
         pool = materialize(pool, "quality-pool")
         picks = lambda trees: confident(pool, trees)
     x = np.array([r["x"] for r in own], float).reshape(-1, TEXT + META)
-    return co_train(x, np.array([r["label"] for r in own], float), picks, rounds)
+    model = co_train(x, np.array([r["label"] for r in own], float), picks, rounds)
+    if pool is not None:
+        forget(pool)
+    return model
 
 
 def _score_rows(batch: pa.RecordBatch, at: int, model: QualityModel) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +207,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             p, views = _score_rows(batch, 1, model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(views[:, 0]), pa.array(views[:, 1])], ["id", "score", "text_score", "meta_score"])
 
@@ -219,7 +223,7 @@ def good_documents(docs: DataFrame, model: QualityModel, text_col: str = "text",
     packed = docs.toDF(*[f"c{i}" for i in range(len(names))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             p, _ = _score_rows(batch, len(names), model)
             kept = batch.filter(pa.array(p >= threshold))
             yield pa.RecordBatch.from_arrays(kept.columns[:-3], schema=pa.schema(list(kept.schema)[:-3]))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkveil.llm.learn import BoostedTrees, Isotonic, held_out, labelled_sample, sigmoid, strings
-from sparkveil.session import materialize, ship
+from sparkveil.session import forget, materialize, ship, sliced
 
 #: Documents with a label that the model learns from, at most.
 SAMPLE = 8000
@@ -185,16 +185,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     terms = materialize(term_counts(sample).withColumns({"n0": F.col("n00") + F.col("n10"), "n1": F.col("n01") + F.col("n11")}), "toxic-terms")
     of = [learn_lexicon(terms, f"n{f}0", f"n{f}1", clean[f], toxic[f]) for f in (0, 1)]
     whole = learn_lexicon(terms, "n0", "n1", sum(clean), sum(toxic))
+    forget(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         makers = [ToxicFeatures(of[1]), ToxicFeatures(of[0])]  # the other half's lexicon
-        for batch in batches:
+        for batch in sliced(batches):
             folds, texts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             rows = [makers[f].row(t or "") for f, t in zip(folds, texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], ["id", "label", "fold", "x"])
 
     rows = sample.select("id", "label", "fold", F.col("c0").alias("text")).mapInArrow(run, "id long, label int, fold int, x array<double>")
     data = sorted(rows.collect(), key=lambda r: r["id"])  # SAMPLE rows of numbers at most
+    forget(sample)
     x = np.array([r["x"] for r in data], float).reshape(-1, FEATURES)
     y, fold = np.array([r["label"] for r in data], float), np.array([r["fold"] for r in data], int)
     unseen = np.zeros(len(y))
@@ -215,7 +217,7 @@ def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = ToxicFeatures(model.lexicon)
-        for batch in batches:
+        for batch in sliced(batches):
             p = model(maker.rows(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], ["id", "score"])
 
