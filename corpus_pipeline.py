@@ -13,6 +13,8 @@ from sparkveil.session import materialize, table
 
 #: A document is rejected below this probability of good quality.
 REJECT_BELOW = 0.5
+#: Fewer than the encoder's own, as its workers have other stages' memory to carry.
+CHUNKS = 120_000
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return byte_bpe.encoded_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.encoded_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, chunks=CHUNKS)
 
 
 STAGES = [

@@ -105,10 +105,17 @@ class _PairRanks(dict):
         return rank
 
 
+#: Marks that end words and begin no contraction.
+_MARKS = frozenset(",.;:!?)")
+#: Chunks of texts whose ids a worker remembers.
+CHUNKS = 400_000
+
+
 class BytePairEncoder:
-    """Encodes and decodes with a rank file, each match of ``pattern`` separately."""
+    """Encodes and decodes with a rank file, each match of ``pattern`` separately. Of chunks behind a
+    space it remembers up to twice ``chunks``, some 200 bytes each."""
 
-    def __init__(self, tokens: list[bytes], vocabulary: PerfectHash, pattern: str):
+    def __init__(self, tokens: list[bytes], vocabulary: PerfectHash, pattern: str, chunks: int = CHUNKS):
         self.tokens, self.hash = tokens, vocabulary
         if len(tokens) >= 1 << 20:
             raise ValueError("over 2^20 ranks")
@@ -117,10 +124,10 @@ class BytePairEncoder:
         byte = {t[0]: i for i, t in enumerate(self.tokens) if len(t) == 1}
         self.of_byte = [byte[i] for i in range(256)]
         self.pairs = _PairRanks(tokens, vocabulary)
-        # A worker keeps these for as long as it lives: some 60 MB when all are full.
+        # A worker keeps these for as long as it lives.
         self._piece = Memo(self._piece_ids, most=60_000)
         self._chunk = Memo(self._ids, most=30_000)
-        self._spaced = Memo(self._spaced_ids, most=120_000)
+        self._spaced = Memo(self._spaced_ids, most=chunks)
 
     def merge(self, data: bytes) -> list[int]:
         """The ids of one pre-token by the heap of possible merges over its linked bytes.
@@ -156,8 +163,13 @@ class BytePairEncoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _spaced_ids(self, chunk: str) -> bytes:
-        """A chunk behind a space: letters alone are one pre-token."""
-        return self._piece_ids(" " + chunk) if self._letters_alone and chunk.isalpha() else self._ids(" " + chunk)
+        """A chunk behind a space: letters alone are one pre-token, and a mark behind them is another."""
+        if self._letters_alone:
+            if chunk.isalpha():
+                return self._piece_ids(" " + chunk)
+            if chunk[-1:] in _MARKS and chunk[:-1].isalpha():
+                return self._spaced[chunk[:-1]] + self._piece[chunk[-1]]
+        return self._ids(" " + chunk)
 
     def _ids(self, chunk: str) -> bytes:
         return b"".join(map(self._piece.__getitem__, self.pattern.findall(chunk)))
@@ -185,10 +197,10 @@ class BytePairEncoder:
         return cls(tokens, PerfectHash(tokens), pattern)
 
 
-_ENCODERS: dict[tuple[str, str], BytePairEncoder] = {}
+_ENCODERS: dict[tuple[str, str, int], BytePairEncoder] = {}
 
 
-def _on_workers(spark: SparkSession, path: str, pattern: str):
+def _on_workers(spark: SparkSession, path: str, pattern: str, chunks: int = CHUNKS):
     """A function that gives a Python worker its encoder. The perfect hash is built here and
     broadcast: it is as large as the vocabulary, under 2^20 strings."""
     ship(spark)
@@ -196,9 +208,9 @@ def _on_workers(spark: SparkSession, path: str, pattern: str):
     built = spark.sparkContext.broadcast((tokens, PerfectHash(tokens)))
 
     def get() -> BytePairEncoder:
-        if (path, pattern) not in _ENCODERS:
-            _ENCODERS[path, pattern] = BytePairEncoder(*built.value, pattern)
-        return _ENCODERS[path, pattern]
+        if (path, pattern, chunks) not in _ENCODERS:
+            _ENCODERS[path, pattern, chunks] = BytePairEncoder(*built.value, pattern, chunks)
+        return _ENCODERS[path, pattern, chunks]
 
     return get
 
@@ -220,15 +232,16 @@ def encode_column(df: DataFrame, ranks_path: str, pattern: str, text_col: str =
     return df.withColumn(ids_col, ids(F.coalesce(named(text_col), F.lit(""))))
 
 
-def encoded_digests(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoded_digests(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunks: int = CHUNKS) -> DataFrame:
     """One row per input row: ``doc_id, n_tokens, ids_sha256, decoded_sha256``, the latter of the
     bytes that the ids decode to.
 
     Defined cases: a null text counts as empty, with no ids; repeated rows are returned as often as
     they came; an empty table gives an empty result; other columns are ignored. A pre-token of any
-    length is one linked list, so memory follows the longest pre-token and text.
+    length is one linked list, so memory follows the longest pre-token and text. ``chunks`` bounds what
+    a worker remembers, and changes no result.
     """
-    encoder = _on_workers(df.sparkSession, ranks_path, pattern)
+    encoder = _on_workers(df.sparkSession, ranks_path, pattern, chunks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder()
