@@ -44,3 +44,17 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize(
+    ("name", "keys"),
+    [("identifier_spans", [16, 391476, 391513, 899967])],  # telephone numbers that begin with 91
+)
+def test_keys_of_larger_tables(spark, tmp_path, name, keys):
+    duckdb.execute(f"COPY (SELECT unnest({keys})::BIGINT AS c_custkey) TO '{tmp_path}/customer.parquet'")
+    df = registry.QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet'")
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({registry.ORACLE_SQL[name]})").fetchall()
+    line = lambda r: "|".join(map(plain, r))
+    assert sorted(map(line, df.collect())) == sorted(map(line, want))
