@@ -82,6 +82,12 @@ def public_spans(spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["type"].alias("type"), s["start"].alias("start"), s["end"].alias("end"), s["confidence"].alias("confidence"), s["evidence"].alias("evidence"), s["method"].alias("decision_method"), F.concat(F.lit("["), s["type"], F.lit(" REDACTED]")).alias("masked_value")))
 
 
+def stated(spans: Column) -> Column:
+    """Spans of the values that a text ends up with: a value that a repair only says once more counts
+    once. For lists of values, not for hiding them, which needs all spans."""
+    return F.filter(spans, lambda s: ~s["evidence"].endswith(engine.RESTATED))
+
+
 def mean_confidence(spans: Column) -> Column:
     """The mean over the spans; 1 if there are none."""
     total = F.aggregate(spans, F.lit(0.0), lambda n, s: n + s["confidence"])

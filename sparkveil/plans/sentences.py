@@ -239,7 +239,7 @@ def said(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 def _register(name: str, cases: list[Case]) -> None:
     @query(expected_sql(cases), name)
     def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = privacy.detect(said(spark, sf_dir, by_key(cases))).select("call_id", F.explode("pii").alias("s"))
+        found = privacy.detect(said(spark, sf_dir, by_key(cases))).select("call_id", F.explode(privacy.stated(F.col("pii"))).alias("s"))
         return found.select("call_id", "s.type", "s.value", "s.confidence", "s.ownership", "s.canonical")
 
 

@@ -48,7 +48,10 @@ def test_entry(spark):
 
 @pytest.mark.parametrize(
     ("name", "keys"),
-    [("identifier_spans", [16, 391476, 391513, 899967])],  # telephone numbers that begin with 91
+    [
+        ("identifier_spans", [16, 391476, 391513, 899967]),  # telephone numbers that begin with 91
+        ("context_spans", [8, 9, 538292, 538293, 1438292]),  # a repair that repeats its value
+    ],
 )
 def test_keys_of_larger_tables(spark, tmp_path, name, keys):
     duckdb.execute(f"COPY (SELECT unnest({keys})::BIGINT AS c_custkey) TO '{tmp_path}/customer.parquet'")
